@@ -190,6 +190,9 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return skeleton.with_skeleton(read(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "skeleton")
 
 
+#: SQL by name of query; those without one are tested against brute force.
+ORACLE: dict[str, str] = {}
+
 QUERIES = {
     f.__name__: f
     for f in (
