@@ -55,14 +55,18 @@ def says_nothing(answer: str | None) -> bool:
         return True
     if len(answer) > 60 and answer[0].isalnum() and "<" not in answer and ":" not in answer:
         return False
-    if len(answer) > 400:
-        return not any(ch.isalnum() for ch in answer)
     bare = _TAG.sub(" ", answer) if "<" in answer else answer
     if ":" in bare:
         lines = [x for x in bare.splitlines() if any(ch.isalnum() for ch in x)]
         if lines and all(_LABEL.match(x) for x in lines):
             return True
-    return "".join(ch for ch in bare.lower() if ch.isalnum()) in NOTHING
+    said = []
+    for ch in bare.lower():
+        if ch.isalnum():
+            said.append(ch)
+            if len(said) > 20:  # longer than any of them
+                return False
+    return "".join(said) in NOTHING
 
 
 # ---------------------------------------------------------------- refusals
@@ -105,6 +109,7 @@ _FILLS = re.compile(
 )
 #: Words after which the same sentence goes on to answer.
 _TURNS = re.compile(r"\b(?:but|yet|however|although|though|mais|cependant|pero|sin embargo|aber|jedoch|doch|trotzdem|mas|por[eé]m|no entanto|लेकिन|परंतु|但是|不过)\b[\s,:;]*(.*)$", re.S)
+_BLANK = re.compile(r"[\s​-‍﻿]+")
 _SCRIPTS = re.compile(r"[ऀ-ॣ㐀-鿿]")
 _ENDS = re.compile(r"(?<=[.!?。।])\s+|\n+|(?<=[。।])")
 
@@ -124,13 +129,11 @@ def refuses(answer: str, said: list[str]) -> bool:
 
     `said` are the answer's words. A sentence that refuses and then goes on to answer (`I cannot ..., but ...`) is content.
     """
-    if len(answer) > 600 or len(said) < 3 or not (_TRIGGERS.intersection(said) or _SCRIPTS.search(answer)):
-        return False
-    text = re.sub(r"[\s​-‍﻿]+", " ", answer.lower().replace("’", "'")).strip()
-    if not _REFUSES.search(text):
+    if len(said) < 3 or not (_TRIGGERS.intersection(said) or _SCRIPTS.search(answer)):
         return False
     found = False
-    for sentence in _ENDS.split(re.sub(r"\*\*[^*]{0,30}\*\*", " ", text)):
+    for sentence in _ENDS.split(re.sub(r"\*\*[^*]{0,30}\*\*", " ", answer.lower().replace("’", "'"))):
+        sentence = _BLANK.sub(" ", sentence).strip()
         if not any(ch.isalnum() for ch in sentence):
             continue
         if _REFUSES.search(sentence):
@@ -178,7 +181,7 @@ def tiles(a: list[str], b: list[str], least: int) -> tuple[list[bool], list[bool
 
 def copies_question(question: list[str], answer: list[str]) -> bool:
     """The answer is made of the question's words in their order, and holds nearly all of them to the end."""
-    if len(answer) < 3 or len(question) < 3 or len(answer) > 4 * len(question) + 8:
+    if len(answer) < 3 or len(question) < 3:
         return False
     asked = set(question)
     if sum(w in asked or w in _INTRODUCES for w in answer) < 0.9 * len(answer):
@@ -246,13 +249,13 @@ def language(text: str, said: list[str]) -> tuple[str, float]:
 
 def other_language(asked: tuple[str, float], answer: str, said: list[str]) -> bool:
     """The question's language `asked` and that of the answer are both clear, and not the same. A few words show none."""
-    if len(answer) < 12 or not asked[0] or asked[1] < 1.0:
+    if not asked[0] or asked[1] < 1.0 or (len(said) < 5 and not _SCRIPTS.search(answer)):
         return False
     own = _SETS.get(asked[0])
     if own and len(said) >= 5 and sum(w in own for w in said) * 3 >= len(said) and not _SCRIPTS.search(answer):
         return False
     there, sure = language(answer, said)
-    return sure >= 1.5 and (there in ("zh", "hi") or len(said) >= 5) and asked[0] != there
+    return sure >= (4 if there in ("zh", "hi") else 1.5) and asked[0] != there
 
 
 @lru_cache(100_000)

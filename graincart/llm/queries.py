@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graincart.llm import dedup, frequency, grouping, mixing, overlap, packing, pairs, quota, skeleton, tokens
 from graincart.llm.common import cells, first_deliveries, read
+from graincart.llm.oracle import ORACLE as ORACLE
 from graincart.session import cut_lineage
 
 #: Environment variable with the folder of the tokenizers' files; by default the installed package `public_tokenizers`.
@@ -190,9 +191,6 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return skeleton.with_skeleton(read(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "skeleton")
 
 
-#: SQL by name of query; those without one are tested against brute force.
-ORACLE: dict[str, str] = {}
-
 QUERIES = {
     f.__name__: f
     for f in (
