@@ -7,10 +7,13 @@ array of a word's bytes, with the ranks as a literal map. The words' ids are the
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: The rank map is a literal array of small maps, since Spark searches a map from its start.
 SLOTS = 1 << 14
 NO_RANK = 2**31 - 1
+#: Words of more bytes are merged with a heap: a fold copies its arrays at each step, so its cost grows with their square.
+LONG_WORD = 200
 #: Distinct words up to this many rows and characters are broadcast; beyond, the join is shuffled.
 BROADCAST_WORDS, BROADCAST_CHARS = 400_000, 8_000_000
 
@@ -88,6 +93,31 @@ def word_ids(word: Column, path: str) -> Column:
     return F.when(rank(digits) < NO_RANK, F.array(rank(digits))).otherwise(folded)
 
 
+def merge_long(word: bytes, table: dict[bytes, int]) -> list[int]:
+    """The ids of a word by the same merges, with a heap of pairs (rank, place) in place of a scan for the lowest."""
+    if word in table:
+        return [table[word]]
+    end = len(word)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+    piece = [word[i : i + 1] for i in range(end)]
+    heap = [(table[word[i : i + 2]], i, 2) for i in range(end - 1) if word[i : i + 2] in table]
+    heapq.heapify(heap)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i] if piece[i] else end
+        if j >= end or len(piece[i]) + len(piece[j]) != size:
+            continue  # one of the two has been merged since
+        piece[i] += piece[j]
+        piece[j] = b""
+        after[i] = after[j]
+        if after[i] < end:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < end and (rank := table.get(piece[a] + piece[b])) is not None:
+                heapq.heappush(heap, (rank, a, len(piece[a]) + len(piece[b])))
+    return [table[x] for x in piece if x]
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for null and empty texts."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
@@ -97,7 +127,15 @@ def vocabulary(documents: DataFrame, path: str, text: str = "text") -> DataFrame
     """word, ids, n (their number) of each distinct word of the texts, written to the checkpoint folder."""
     words = documents.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.lit(1).alias("_one"))
     spread = words.select("word").repartition(_tasks(documents))
-    return cut_lineage(spread.select("word", word_ids(F.col("word"), path).alias("ids")).withColumn("n", F.size("ids")))
+    short = spread.where(F.octet_length("word") <= LONG_WORD).select("word", word_ids(F.col("word"), path).alias("ids"))
+    table = documents.sparkSession.sparkContext.broadcast(ranks(path))
+
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(ids=[merge_long(w.encode(), table.value) for w in part["word"]])
+
+    long = spread.where(F.octet_length("word") > LONG_WORD).mapInPandas(merge, "word string, ids array<int>")
+    return cut_lineage(short.unionByName(long).withColumn("n", F.size("ids")))
 
 
 def _tasks(df: DataFrame) -> int:
