@@ -6,24 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincart.functions.hashing import is_holdout, stable_hex
+from graincart.operators.selection import hex_bucket, position_bucket, prefix
 
 
 def prefix_quota(rows: DataFrame, group: str, fraction: float, order: str = "ord") -> DataFrame:
-    """The first max(1, floor(n x fraction)) rows of each group. The group must fit a task's sort; only its keys are shuffled with the rows."""
+    """The first max(1, floor(n x fraction)) rows of each group by a unique position. Groups are few; rows are ranked only where a quota cuts."""
     if not 0 < fraction <= 1:
         raise ValueError("the fraction must be over 0 and at most 1")
     sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(fraction)).cast("bigint")).alias("_quota"))
-    return _first(rows.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g"), group, F.col("_quota"), order).drop("_quota")
+    sized = rows.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    return prefix(sized, group, "_quota", F.col(order), order, position_bucket(rows, order)).drop("_quota")
 
 
 def first_n(rows: DataFrame, group: str, n: int | None, order: str = "ord") -> DataFrame:
-    """The first n rows of each group; all without n. Spark pushes the limit below the shuffle."""
-    return _first(rows, group, F.lit(n), order) if n else rows
-
-
-def _first(rows: DataFrame, group: str, quota: Column, order: str) -> DataFrame:
+    """The first n rows of each group; all without n. Spark limits each task to n rows of a group before the shuffle."""
+    if not n:
+        return rows
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= quota).drop("_rank")
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def first_rows(rows: DataFrame, n: int | None, order: str = "ord") -> DataFrame:
@@ -76,16 +76,15 @@ def stratified_sample(rows: DataFrame, target: int, fields: list[str], floor: in
     strata = strata.withColumn("cap", F.col("n") - F.col("t1")).withColumn("rem", F.lit(target) - F.sum("t1").over(everything)).withColumn("tot", F.sum("cap").over(everything))
     strata = strata.withColumn("raw", F.when((F.col("rem") > 0) & (F.col("cap") > 0), F.col("rem").cast("double") * F.col("cap") / F.col("tot").cast("double")).otherwise(F.lit(0.0)))
     strata = strata.withColumn("t2", F.least(F.col("cap"), F.floor("raw"))).withColumn("spare", F.col("cap") - F.col("t2")).withColumn("left", F.col("rem") - F.sum("t2").over(everything))
-    keys = [F.desc(f"_f{i}") for i in range(len(fields))]
-    place = F.row_number().over(Window.orderBy(F.desc(F.col("spare") > 0), F.desc(F.col("raw") - F.col("t2")), F.desc("spare"), *keys))
+    names = [F.desc(f"_f{i}") for i in range(len(fields))]
+    place = F.row_number().over(Window.orderBy(F.desc(F.col("spare") > 0), F.desc(F.col("raw") - F.col("t2")), F.desc("spare"), *names))
     strata = strata.withColumn("alloc", F.col("t1") + F.col("t2") + F.when((F.col("spare") > 0) & (place <= F.col("left")), 1).otherwise(0))
-    plan = strata.select(*[f"_f{i}" for i in range(len(fields))], "alloc")
-    marked = rows.withColumns({f"_f{i}": c for i, c in enumerate([F.coalesce(F.col(f).cast("string"), F.lit("None")) for f in fields])})
-    marked = marked.join(F.broadcast(plan), [f"_f{i}" for i in range(len(fields))])
-    inner = stable_hex(F.col(key), F.concat(F.lit(f"{salt}::"), _python_repr([f"_f{i}" for i in range(len(fields))])))
-    rank = F.row_number().over(Window.partitionBy(*[f"_f{i}" for i in range(len(fields))]).orderBy(inner, "ord"))
-    kept = marked.withColumn("_rank", rank).where(F.col("_rank") <= F.col("alloc"))
-    return kept.drop("_rank", "alloc", *[f"_f{i}" for i in range(len(fields))]).withColumn("order_key", order)
+    keys = [f"_f{i}" for i in range(len(fields))]
+    marked = rows.withColumns({k: F.coalesce(F.col(f).cast("string"), F.lit("None")) for k, f in zip(keys, fields)})
+    marked = marked.join(F.broadcast(strata.select(*keys, "alloc")), keys).withColumn("_stratum", _python_repr(keys))
+    inner = stable_hex(F.col(key), F.concat(F.lit(f"{salt}::"), F.col("_stratum")))
+    kept = prefix(marked, "_stratum", "alloc", inner, "ord", hex_bucket(F.col("_order")))
+    return kept.drop("alloc", "_stratum", *keys).withColumn("order_key", order)
 
 
 def mode_first_seen(rows: DataFrame, group: list[str], value: str, order: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact prefixes of hashed orders without sorting a whole group in one task."""
+"""Exact prefixes of orders within groups, without sorting a whole group in one task."""
 
 from __future__ import annotations
 
@@ -8,33 +8,47 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 
 
-def mark_prefix(df: DataFrame, group: str, quota: str, order: Column, tie: str, name: str = "taken", buckets: int = BUCKETS) -> DataFrame:
-    """`df` with a boolean: whether a row is among the first `quota` of its group by (`order`, `tie`).
+def hash_bucket(order: Column, buckets: int = BUCKETS) -> Column:
+    """A bucket from the middle bits of a 64-bit hash."""
+    return F.pmod(F.shiftrightunsigned(order, 40), F.lit(buckets)).cast("int")
 
-    `order` is a uniformly distributed bigint, `tie` a unique column without nulls. A group's quota stands in each of its
-    rows; null or less than one takes nothing. Rows are counted by (group, bucket of the order), and only the bucket
-    that the quota cuts is ranked row by row, so that a group with a third of all rows gives a task no more than
-    about 1/`buckets` of it. The last row taken of each group then marks the rest: one row a group is broadcast,
-    so use it for groups whose number is bounded. The name `_order` is used and dropped.
+
+def hex_bucket(order: Column) -> Column:
+    """One of 4096 buckets from the first digits of a hash in hex; it follows the order of the hashes."""
+    return F.conv(F.substring(order, 1, 3), 16, 10).cast("int")
+
+
+def position_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> Column:
+    """A bucket from a row's position, by equal widths between the lowest and the highest one (looked up here); it follows the positions."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    low, width = low or 0, max(1, (high or 0) - (low or 0) + 1)
+    return F.floor((F.col(order) - F.lit(low)).cast("double") * buckets / F.lit(width)).cast("int")
+
+
+def mark_prefix(df: DataFrame, group: str, quota: str, order: Column, tie: str, bucket: Column, name: str = "taken") -> DataFrame:
+    """`df` with a boolean: whether a row is among the first `quota` of its group by (`bucket`, `order`, `tie`).
+
+    `bucket` is a small integer over which a group's rows spread evenly, `tie` a unique column without nulls. A group's
+    quota stands in each of its rows; null or less than one takes nothing. Rows are counted by group and bucket, and only
+    the bucket that the quota cuts is ranked row by row, so that a group with a third of all rows gives a task no more than
+    its share of one bucket. The last row taken of each group then marks the rest: one row a group is broadcast, so use it
+    for groups whose number is bounded. The names `_order` and `_b` are used and dropped.
     """
-    bucket = F.pmod(F.shiftrightunsigned("_order", 40), F.lit(buckets)).cast("int")
-    # within the order of the buckets first, so that a prefix of rows is a prefix of buckets
-    rows = df.withColumn("_order", order)
-    slim = rows.select(F.col(group).alias("_g"), F.col(quota).alias("_q"), "_order", F.col(tie).alias("_t"), bucket.alias("_b"))
+    rows = df.withColumn("_order", order).withColumn("_b", bucket)
+    slim = rows.select(F.col(group).alias("_g"), F.col(quota).alias("_q"), "_order", F.col(tie).alias("_t"), "_b")
     counts = slim.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"), F.max("_q").alias("_q"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = counts.withColumn("_before", before).where("_before < _q AND _before + _n >= _q").select("_g", "_b", (F.col("_q") - F.col("_before")).alias("_k"))
-    within = slim.drop("_q").join(F.broadcast(last), ["_g", "_b"])
+    last = counts.withColumn("_before", before).where("_before < _q AND _before + _n >= _q").select(F.col("_g").alias("_lg"), F.col("_b").alias("_lb"), (F.col("_q") - F.col("_before")).alias("_k"))
+    within = slim.drop("_q").join(F.broadcast(last), F.col("_g").eqNullSafe(F.col("_lg")) & (F.col("_b") == F.col("_lb")))
     rank = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_order", "_t"))
-    cut = within.withColumn("_rank", rank).where("_rank = _k").select("_g", F.struct("_b", "_order", "_t").alias("_last"))
-    bounds = F.broadcast(cut.withColumnRenamed("_g", "_group"))
-    at = F.struct(bucket.alias("_b"), F.col("_order"), F.col(tie).alias("_t"))
-    joined = rows.join(bounds, F.col(group) == F.col("_group"), "left")
+    cut = within.withColumn("_rank", rank).where("_rank = _k").select(F.col("_g").alias("_group"), F.struct("_b", "_order", "_t").alias("_last"))
+    joined = rows.join(F.broadcast(cut), F.col(group).eqNullSafe(F.col("_group")), "left")
+    at = F.struct("_b", "_order", F.col(tie).alias("_t"))
     # without a cut the quota is either nothing or more than the group has
     taken = F.when(F.coalesce(F.col(quota), F.lit(0)) < 1, F.lit(False)).when(F.col("_last").isNull(), F.lit(True)).otherwise(at <= F.col("_last"))
-    return joined.withColumn(name, taken).drop("_order", "_group", "_last")
+    return joined.withColumn(name, taken).drop("_order", "_b", "_group", "_last")
 
 
-def hashed_prefix(df: DataFrame, group: str, quota: str, order: Column, tie: str, buckets: int = BUCKETS) -> DataFrame:
+def prefix(df: DataFrame, group: str, quota: str, order: Column, tie: str, bucket: Column) -> DataFrame:
     """The rows that mark_prefix marks."""
-    return mark_prefix(df, group, quota, order, tie, "_taken", buckets).where("_taken").drop("_taken")
+    return mark_prefix(df, group, quota, order, tie, bucket, "_taken").where("_taken").drop("_taken")

@@ -10,7 +10,7 @@ from graincart.operators import metrics as E
 from graincart.operators import reports as P
 from graincart.operators import sampling as S
 from graincart.operators.schema import FIELDS, UNIFIED, unified_type, unknown_keys, validate, with_violations
-from graincart.operators.selection import hashed_prefix, mark_prefix
+from graincart.operators.selection import hash_bucket, mark_prefix, position_bucket, prefix
 from graincart.plans import build as B
 from graincart.plans.evaluate import results_table, run_task
 from tests import plain
@@ -48,17 +48,19 @@ def test_schema_codes(spark):
     assert [r.k for r in extra] == [["zzz"], []]
 
 
-def test_mark_prefix_is_the_exact_prefix(spark):
+def test_prefix_is_exact(spark):
     rng = random.Random(3)
-    rows = [(g, i, rng.randrange(-(2**63), 2**63)) for g, n in (("a", 700), ("b", 40), ("c", 3)) for i in range(n)]
-    df = spark.createDataFrame(rows, "g string, i int, h bigint").repartition(5)
+    rows = [(g, f"{g}{i}", i, rng.randrange(-(2**63), 2**63)) for g, n in (("a", 700), ("b", 40), (None, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, key string, i int, h bigint").repartition(5)
     for quota in (0, 1, 39, 40, 200, 5000):
         for buckets in (1, 16, 4096):
-            got = hashed_prefix(df.withColumn("q", F.lit(quota)), "g", "q", F.col("h"), "i", buckets)
-            assert [r["count"] for r in got.groupBy("g").count().orderBy("g").collect()] == [min(quota, n) for n in (700, 40, 3) if quota]
-    nested = [{r.i for r in hashed_prefix(df.withColumn("q", F.lit(q)), "g", "q", F.col("h"), "i").where("g = 'a'").collect()} for q in (10, 50)]
+            got = prefix(df.withColumn("q", F.lit(quota)), "g", "q", F.col("h"), "key", hash_bucket(F.col("_order"), buckets))
+            assert {r.g: r["count"] for r in got.groupBy("g").count().collect()} == {g: min(quota, n) for g, n in ((None, 3), ("b", 40), ("a", 700)) if quota}
+    first = prefix(df.withColumn("q", F.lit(25)), "g", "q", F.col("i"), "key", position_bucket(df, "i")).collect()
+    assert sorted(r.i for r in first if r.g == "a") == list(range(25)) and len(first) == 53
+    nested = [{r.key for r in prefix(df.withColumn("q", F.lit(q)), "g", "q", F.col("h"), "key", hash_bucket(F.col("_order"))).where("g = 'a'").collect()} for q in (10, 50)]
     assert nested[0] < nested[1]
-    assert mark_prefix(df.limit(0).withColumn("q", F.lit(1)), "g", "q", F.col("h"), "i").count() == 0
+    assert mark_prefix(df.limit(0).withColumn("q", F.lit(1)), "g", "q", F.col("h"), "key", hash_bucket(F.col("_order"))).count() == 0
 
 
 def test_quotas(spark):
