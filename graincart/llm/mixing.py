@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graincart.functions.text import name_key
 from graincart.llm.budget import MOST_LEAVES, Leaf, allocate
-from graincart.operators.selection import mark_prefix
+from graincart.operators.selection import hash_bucket, mark_prefix
 
 REPORT = "source_dataset string, task_family string, target_permille int, records bigint, capacity bigint, demand bigint, given bigint, falls_short boolean"
 
@@ -50,7 +50,7 @@ def mix(records: DataFrame, report: DataFrame, seed: int = 17) -> DataFrame:
     plan = F.broadcast(report.where("given > 0").select(F.col("source_dataset").alias("_source"), "given", F.col("records").alias("_records")))
     rows = records.join(plan, F.col("source_dataset") == F.col("_source"))
     rows = rows.withColumn("_full", F.expr("given div _records")).withColumn("_rest", F.expr("given % _records")).drop("_source", "given", "_records")
-    marked = mark_prefix(rows, "source_dataset", "_rest", F.xxhash64(F.lit(seed), "_full", "sample_id"), "sample_id", "_extra")
+    marked = mark_prefix(rows, "source_dataset", "_rest", F.xxhash64(F.lit(seed), "_full", "sample_id"), "sample_id", hash_bucket(F.col("_order")), "_extra")
     return marked.withColumn("copies", F.col("_full") + F.col("_extra").cast("bigint")).where("copies > 0").drop("_full", "_rest", "_extra")
 
 

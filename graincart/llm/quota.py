@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graincart.functions.text import name_key, normalize_split_name
 from graincart.llm.budget import MOST_LEAVES, Leaf, allocate
-from graincart.operators.selection import hashed_prefix
+from graincart.operators.selection import hash_bucket, prefix
 
 CELL = ["source_dataset", "task_type", "split"]
 REPORT = "source_dataset string, task_type string, split string, target_permille int, min_records int, records bigint, demand bigint, given bigint, unmet boolean"
@@ -48,4 +48,4 @@ def draw(records: DataFrame, report: DataFrame, seed: int = 29) -> DataFrame:
     cell = F.concat_ws("\x1f", *CELL)
     plan = F.broadcast(report.where("given > 0").select(cell.alias("_key"), F.col("given").alias("_quota")))
     rows = records.withColumn("_cell", cell).join(plan, F.col("_cell") == F.col("_key")).drop("_key")
-    return hashed_prefix(rows, "_cell", "_quota", F.xxhash64(F.lit(seed), "sample_id"), "sample_id").drop("_cell", "_quota")
+    return prefix(rows, "_cell", "_quota", F.xxhash64(F.lit(seed), "sample_id"), "sample_id", hash_bucket(F.col("_order"))).drop("_cell", "_quota")
