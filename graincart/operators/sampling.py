@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graincart.functions.hashing import is_holdout, stable_hex
 from graincart.operators.selection import hex_bucket, position_bucket, prefix
+from graincart.session import hinted
 
 
 def prefix_quota(rows: DataFrame, group: str, fraction: float, order: str = "ord") -> DataFrame:
@@ -61,7 +62,7 @@ def stratified_sample(rows: DataFrame, target: int, fields: list[str], floor: in
     Floors go to the larger strata first (ties: the stratum seen first). The leftover goes to the largest remainder,
     then the most spare rows, then the largest key. Within a stratum rows come by their salted hash. All rows come
     back where `target` is not positive or not below their number. Column `rank` is the place in the salted order of the result.
-    The strata table is small (one row for each combination of fields); its windows run in one task, and it is broadcast.
+    The strata table has one row for each combination of fields; its windows run in one task, and it is broadcast if it is small.
     """
     total = rows.count()
     order = stable_hex(F.col(key), salt)
@@ -81,7 +82,7 @@ def stratified_sample(rows: DataFrame, target: int, fields: list[str], floor: in
     strata = strata.withColumn("alloc", F.col("t1") + F.col("t2") + F.when((F.col("spare") > 0) & (place <= F.col("left")), 1).otherwise(0))
     keys = [f"_f{i}" for i in range(len(fields))]
     marked = rows.withColumns({k: F.coalesce(F.col(f).cast("string"), F.lit("None")) for k, f in zip(keys, fields)})
-    marked = marked.join(F.broadcast(strata.select(*keys, "alloc")), keys).withColumn("_stratum", _python_repr(keys))
+    marked = marked.join(hinted(strata.select(*keys, "alloc")), keys).withColumn("_stratum", _python_repr(keys))
     inner = stable_hex(F.col(key), F.concat(F.lit(f"{salt}::"), F.col("_stratum")))
     kept = prefix(marked, "_stratum", "alloc", inner, "ord", hex_bucket(F.col("_order")))
     return kept.drop("alloc", "_stratum", *keys).withColumn("order_key", order)

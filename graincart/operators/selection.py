@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincart.session import hinted
+
 BUCKETS = 4096
 
 
@@ -31,18 +33,18 @@ def mark_prefix(df: DataFrame, group: str, quota: str, order: Column, tie: str,
     `bucket` is a small integer over which a group's rows spread evenly, `tie` a unique column without nulls. A group's
     quota stands in each of its rows; null or less than one takes nothing. Rows are counted by group and bucket, and only
     the bucket that the quota cuts is ranked row by row, so that a group with a third of all rows gives a task no more than
-    its share of one bucket. The last row taken of each group then marks the rest: one row a group is broadcast, so use it
-    for groups whose number is bounded. The names `_order` and `_b` are used and dropped.
+    its share of one bucket. The last row taken of each group then marks the rest; these, one a group, are broadcast if they
+    are few. The names `_order` and `_b` are used and dropped.
     """
     rows = df.withColumn("_order", order).withColumn("_b", bucket)
     slim = rows.select(F.col(group).alias("_g"), F.col(quota).alias("_q"), "_order", F.col(tie).alias("_t"), "_b")
     counts = slim.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"), F.max("_q").alias("_q"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = counts.withColumn("_before", before).where("_before < _q AND _before + _n >= _q").select(F.col("_g").alias("_lg"), F.col("_b").alias("_lb"), (F.col("_q") - F.col("_before")).alias("_k"))
-    within = slim.drop("_q").join(F.broadcast(last), F.col("_g").eqNullSafe(F.col("_lg")) & (F.col("_b") == F.col("_lb")))
+    within = slim.drop("_q").join(hinted(last), F.col("_g").eqNullSafe(F.col("_lg")) & (F.col("_b") == F.col("_lb")))
     rank = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_order", "_t"))
     cut = within.withColumn("_rank", rank).where("_rank = _k").select(F.col("_g").alias("_group"), F.struct("_b", "_order", "_t").alias("_last"))
-    joined = rows.join(F.broadcast(cut), F.col(group).eqNullSafe(F.col("_group")), "left")
+    joined = rows.join(hinted(cut), F.col(group).eqNullSafe(F.col("_group")), "left")
     at = F.struct("_b", "_order", F.col(tie).alias("_t"))
     # without a cut the quota is either nothing or more than the group has
     taken = F.when(F.coalesce(F.col(quota), F.lit(0)) < 1, F.lit(False)).when(F.col("_last").isNull(), F.lit(True)).otherwise(at <= F.col("_last"))

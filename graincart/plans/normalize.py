@@ -32,6 +32,7 @@ from graincart.functions.text import (
 )
 from graincart.operators.sampling import mode_of_array
 from graincart.operators.schema import FIELDS, MESSAGES, REWARD_META, TARGET, VERIFIER
+from graincart.session import hinted
 
 #: JSON texts of values that count as missing.
 FALSY = ("null", '""', "[]", "{}", "0", "0.0", "false")
@@ -258,15 +259,14 @@ def classification_directory(paths: DataFrame, dataset: str, salt: str, prefix:
 def split_lists(lines: DataFrame, classes: DataFrame | None, dataset: str, prefix: str = "", license_name: str | None = None, provenance: Mapping[str, Any] = {}) -> DataFrame:
     """Lines of split lists (split, path, label_id, ord), labelled by the class list, else by their folder.
 
-    A class list has one row a class and is broadcast; its size is looked up, and beyond 100,000 classes Spark decides.
+    A class list has one row a class and is broadcast if it is small.
     """
     folder = F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(-2)), F.lit(""))
     rows = lines.withColumn("index", F.col("ord"))
     if classes is None:
         rows = rows.withColumn("label", F.lit(None).cast("string"))
     else:
-        small = classes.limit(100_001).count() <= 100_000
-        rows = rows.join(F.broadcast(classes) if small else classes, "label_id", "left")
+        rows = rows.join(hinted(classes), "label_id", "left")
     label = F.when(F.col("label").isNotNull(), parse_pest_label("label")).otherwise(parse_pest_label(folder))
     meta = _metadata(
         provenance, license_name, pest=label, label_id=F.col("label_id"), original_label=F.coalesce(F.nullif(folder, F.lit("")), F.col("label_id")), normalized_label=label, source_image_id=F.col("path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "graincart", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +47,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read from there, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Tables up to this many rows are broadcast by hinted().
+SMALL = 100_000
+
+
+def hinted(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """`df` written out, with a broadcast hint if it has at most `most` rows; beyond, Spark joins it as it likes."""
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
