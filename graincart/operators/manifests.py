@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graincart.functions.hashing import group_key
 from graincart.functions.text import word_count
 from graincart.operators.sampling import first_n
+from graincart.session import cut_lineage
 
 
 def merge(sources: Sequence[DataFrame], tasks: Sequence[str] = (), without_splits: Sequence[str] = (), most: int | None = None) -> DataFrame:
@@ -62,10 +63,10 @@ def train_rows(source: DataFrame, pool: DataFrame, splits: Sequence[str], most_i
     """`source` with the reason why a row is no training row: max_images, split, eval_overlap, or null for one that stays.
 
     Two joins, by id and by group, in place of one with an OR that would compare all with all. The keys of the pool
-    are made distinct first; their number follows the pool, so Spark decides how to join them.
+    are written once and made distinct; their number follows the pool, so Spark decides how to join them.
     """
     rows = with_group(source)
-    marked = with_group(pool)
+    marked = cut_lineage(with_group(pool).select("sample_id", "group_key"))
     ids = marked.select("sample_id").distinct().withColumn("_same_id", F.lit(True))
     groups = marked.select("group_key").distinct().withColumn("_same_group", F.lit(True))
     joined = rows.join(ids, "sample_id", "left").join(groups, "group_key", "left")
@@ -80,9 +81,9 @@ def train_rows(source: DataFrame, pool: DataFrame, splits: Sequence[str], most_i
 def overlap_counts(train: DataFrame, other: DataFrame) -> DataFrame:
     """One row: distinct ids and distinct groups that both sides have."""
     a, b = with_group(train), with_group(other)
-    ids = a.select("sample_id").intersect(b.select("sample_id")).agg(F.count(F.lit(1)).alias("exact_sample_id"))
-    groups = a.select("group_key").intersect(b.select("group_key")).agg(F.count(F.lit(1)).alias("group_key"))
-    return ids.withColumn("_k", F.lit(1)).join(groups.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    ids = a.select("sample_id").intersect(b.select("sample_id")).select(F.lit("id").alias("k"))
+    groups = a.select("group_key").intersect(b.select("group_key")).select(F.lit("group").alias("k"))
+    return ids.unionByName(groups).agg(F.count_if(F.col("k") == "id").alias("exact_sample_id"), F.count_if(F.col("k") == "group").alias("group_key"))
 
 
 def assert_no_overlap(train: DataFrame, other: DataFrame) -> None:
