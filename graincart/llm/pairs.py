@@ -310,9 +310,9 @@ DANGLING = frozenset(
     "der das den dem ein eine und weil dass daß mit für "
     "os um uma do da dos das e porque com".split()
 )
-ORDERS = (4, 3, 2)
-#: How often a context must have been seen elsewhere to decide; below which share of them it is no end of a sentence.
-SEEN, ENDS = 8, 0.03
+ORDERS = (5, 4, 3, 2)
+#: How often a context of each order must have been seen elsewhere to decide (a shorter one says less); below which share of them it is no end of a sentence.
+SEEN, ENDS = {5: 8, 4: 12, 3: 25, 2: 60}, 0.03
 #: The same for an answer with a full stop of its own, which is better evidence than rare words.
 SEEN_STOPPED, ENDS_STOPPED = 500, 0.002
 #: A last word is a piece if longer words beginning with it stood there PIECES times, and itself in less than PIECE_SHARE of these.
@@ -322,14 +322,14 @@ _STOPPED = re.compile(r"(?:^|[^.!?。।…])[.!?。।][\s\"'»”)*]*$")
 
 def contexts(items: list[str]) -> Iterator[tuple[str, bool]]:
     """(last words of the longest order, whether a sentence ends there) for each word of an answer's stream."""
-    a = b = c = START
+    a = b = c = d = START
     last = len(items) - 1
     for i, w in enumerate(items):
         if w[0] in _STOP:
-            a = b = c = START
+            a = b = c = d = START
             continue
-        yield f"{a} {b} {c} {w}", i == last or items[i + 1][0] in _STOP
-        a, b, c = b, c, w
+        yield f"{a} {b} {c} {d} {w}", i == last or items[i + 1][0] in _STOP
+        a, b, c, d = b, c, d, w
 
 
 def stopped(answer: str) -> bool:
@@ -340,7 +340,7 @@ def stopped(answer: str) -> bool:
 def last_context(items: list[str]) -> list[str | None]:
     """The last words in front of the end, by order.
 
-    None for a sentence shorter than an order that isn't the longest: without its start they say nothing about it as a whole.
+    None for the shorter ones of a sentence that is no longer than they: without its start they say nothing about it as a whole.
     """
     end = len(items)
     while end and items[end - 1][0] in _STOP:
@@ -350,8 +350,8 @@ def last_context(items: list[str]) -> list[str | None]:
         at -= 1
     if at == end:
         return [None] * len(ORDERS)
-    run = [START] * 3 + items[at:end]
-    return [" ".join(run[-n:]) if n == ORDERS[0] or run[-n - 1] != START else None for n in ORDERS]
+    run = [START] * (ORDERS[0] - 1) + items[at:end]
+    return [" ".join(run[-n:]) if n == ORDERS[0] or end - at >= ORDERS[0] else None for n in ORDERS]
 
 
 def dangles(items: list[str]) -> bool:
@@ -463,15 +463,13 @@ def defective_pairs(manifest: DataFrame) -> DataFrame:
     for n in ORDERS:
         seen = counts.select(F.col("context").alias(f"c{n}"), (F.col("n") - 1).alias(f"n{n}"), (F.col("ends") - 1).alias(f"e{n}"))
         rows = rows.join(seen, f"c{n}", "left")
-        if n != ORDERS[0]:
-            rows = rows.join(longer.select(F.col("context").alias(f"c{n}"), F.col("longer").alias(f"l{n}")), f"c{n}", "left")
-    seen_least = F.when(F.col("stopped"), SEEN_STOPPED).otherwise(SEEN)
+        rows = rows.join(longer.select(F.col("context").alias(f"c{n}"), F.col("longer").alias(f"l{n}")), f"c{n}", "left")
     share = F.when(F.col("stopped"), ENDS_STOPPED).otherwise(ENDS)
     ends_not: Column | None = None
     for n in ORDERS:
-        enough, few = F.coalesce(F.col(f"n{n}") >= seen_least, F.lit(False)), F.col(f"e{n}") < share * F.col(f"n{n}")
+        enough, few = F.coalesce(F.col(f"n{n}") >= F.when(F.col("stopped"), SEEN_STOPPED).otherwise(SEEN[n]), F.lit(False)), F.col(f"e{n}") < share * F.col(f"n{n}")
         ends_not = F.when(enough, few) if ends_not is None else ends_not.when(enough, few)
-    pieces = [F.coalesce((F.col(f"l{n}") >= PIECES) & (F.coalesce(F.col(f"n{n}"), F.lit(0)) <= PIECE_SHARE * F.col(f"l{n}")), F.lit(False)) for n in ORDERS[1:]]
+    pieces = [F.coalesce((F.col(f"l{n}") >= PIECES) & (F.coalesce(F.col(f"n{n}"), F.lit(0)) <= PIECE_SHARE * F.col(f"l{n}")), F.lit(False)) for n in ORDERS]
     piece = pieces[0]
     for x in pieces[1:]:
         piece = piece | x
