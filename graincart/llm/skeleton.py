@@ -7,15 +7,22 @@ because it would make a raised digit a plain one.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graincart.session import cut_lineage
+
+#: A character that is neither white space nor a control or format character.
+_VISIBLE = re.compile(r"[^\s\x00-\x1f\x7f-\x9f\u00ad\u0600-\u0605\u061c\u06dd\u070f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]")
+
 #: Letters of other alphabets and the Latin letters that they look like, in the order of their alphabets.
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυϲϳ", "ABEZHIKMNOPTYXavopucj")
 CYRILLIC = ("АВЕЅІЈКМНОРСТУҮХԌԚԜаеорсуүхѕіјһԁԛԝӏ", "ABESIJKMHOPCTYYXGQWaeopcyyxsijhdqwl")
@@ -59,6 +66,23 @@ def skeleton_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(skeleton, na_action="ignore")
 
 
+@F.pandas_udf(T.BinaryType())
+def look_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def look(text: str) -> bytes | None:
+        form = skeleton(text)
+        return hashlib.sha256(form.encode("utf-8", "surrogatepass")).digest() if _VISIBLE.search(form) else None
+
+    for part in texts:
+        yield part.map(look, na_action="ignore")
+
+
+def look_id(text: str) -> Column:
+    """SHA-256 of a text's skeleton; null without a visible character. Plain ASCII texts, which are their own skeletons, skip Python."""
+    plain = F.col(text).rlike(r"\A[\x00-\x7F]*\z")
+    own = F.when(F.col(text).rlike(r"[\x21-\x7E]"), F.unhex(F.sha2(text, 256)))
+    return F.when(plain, own).otherwise(look_udf(F.when(~plain, F.col(text))))
+
+
 def with_skeleton(documents: DataFrame, text: str = "text", name: str = "skeleton") -> DataFrame:
     """`documents` with the one form of each text; null for a null text, empty for one of widthless marks only.
 
@@ -72,13 +96,14 @@ def with_skeleton(documents: DataFrame, text: str = "text", name: str = "skeleto
 def look_alike_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """skeleton_id, text_id, key of each document whose look more than one string has.
 
-    Only digests (SHA-256) are shuffled. Copies of one string are combined before a look is counted, so a string
-    held by a third of all documents is one row for each task. Texts without a visible character are left out.
+    The texts are read once, and only digests (SHA-256) of them go on. Copies of one string are combined before a look is
+    counted, so a string held by a third of all documents is one row for each task. Texts without a visible character are
+    left out.
     """
-    shaped = with_skeleton(documents.select(key, text), text, "_s").where(F.col("_s").rlike(r"(?U)[^\s\x1c-\x1f\p{Cc}\p{Cf}]"))
-    ids = shaped.select(F.unhex(F.sha2("_s", 256)).alias("skeleton_id"), F.unhex(F.sha2(text, 256)).alias("text_id"), key)
-    several = ids.groupBy("skeleton_id", "text_id").agg(F.lit(1).alias("_one")).groupBy("skeleton_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("skeleton_id")
-    return ids.join(several, "skeleton_id", "left_semi")
+    shaped = documents.select(key, text).select(F.col(key), F.unhex(F.sha2(text, 256)).alias("text_id"), look_id(text).alias("skeleton_id"))
+    ids = cut_lineage(shaped).where("skeleton_id IS NOT NULL")
+    several = ids.select("skeleton_id", "text_id").distinct().groupBy("skeleton_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("skeleton_id")
+    return cut_lineage(ids.join(several, "skeleton_id", "left_semi"))
 
 
 def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
