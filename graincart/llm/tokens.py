@@ -58,7 +58,12 @@ def word_ids(word: Column, path: str) -> Column:
     merges the leftmost pair of lowest rank and looks up the two pairs that this makes; there are at most as many
     steps as bytes. A word that is a piece itself needs none.
     """
-    table = F.from_json(F.lit(_slots(path)), "array<map<string,int>>")
+    literal = F.from_json(F.lit(_slots(path)), "array<map<string,int>>")
+    return _let(literal, lambda table: _fold(word, table))
+
+
+def _fold(word: Column, table: Column) -> Column:
+    """word_ids with the rank map as a lambda's variable, so that the plan holds the literal once."""
 
     def rank(piece: Column) -> Column:
         return F.coalesce(F.try_element_at(F.get(table, F.pmod(F.crc32(F.encode(piece, "UTF-8")), F.lit(SLOTS)).cast("int")), piece), F.lit(NO_RANK))
