@@ -10,7 +10,7 @@ import base64
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pandas as pd
@@ -26,7 +26,7 @@ SLOTS = 1 << 14
 NO_RANK = 2**31 - 1
 #: Words of more bytes are merged with a heap: a fold copies its arrays at each step, so its cost grows with their square.
 LONG_WORD = 200
-#: Distinct words up to this many rows and characters are broadcast; beyond, the join is shuffled.
+#: As many of the most used words as this many rows and characters hold are broadcast; beyond, the join is shuffled.
 BROADCAST_WORDS, BROADCAST_CHARS = 400_000, 8_000_000
 
 
@@ -129,17 +129,17 @@ def words_of(text: Column) -> Column:
 
 
 def vocabulary(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """word, ids, n (their number) of each distinct word of the texts, written to the checkpoint folder."""
-    words = documents.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.lit(1).alias("_one"))
-    spread = words.select("word").repartition(_tasks(documents))
-    short = spread.where(F.octet_length("word") <= LONG_WORD).select("word", word_ids(F.col("word"), path).alias("ids"))
+    """word, uses, ids, n (their number) of each distinct word of the texts, written to the checkpoint folder."""
+    words = documents.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    spread = words.repartition(_tasks(documents))
+    short = spread.where(F.octet_length("word") <= LONG_WORD).select("word", "uses", word_ids(F.col("word"), path).alias("ids"))
     table = documents.sparkSession.sparkContext.broadcast(ranks(path))
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield part.assign(ids=[merge_long(w.encode(), table.value) for w in part["word"]])
 
-    long = spread.where(F.octet_length("word") > LONG_WORD).mapInPandas(merge, "word string, ids array<int>")
+    long = spread.where(F.octet_length("word") > LONG_WORD).withColumn("ids", F.array().cast("array<int>")).mapInPandas(merge, "word string, uses bigint, ids array<int>")
     return cut_lineage(short.unionByName(long).withColumn("n", F.size("ids")))
 
 
@@ -148,10 +148,19 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _beside(vocab: DataFrame) -> DataFrame:
-    """The vocabulary with a broadcast hint if it is small; it grows with the corpus, if slowly, so its size is looked up."""
-    rows, chars = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("word") + 4 * F.col("n")), F.lit(0))).first()
-    return F.broadcast(vocab) if rows <= BROADCAST_WORDS and chars <= BROADCAST_CHARS else vocab
+def _common(vocab: DataFrame) -> DataFrame | None:
+    """The words to broadcast: all if they are few, else the most used ones, as many as fit the bounds; None if that is all of them.
+
+    Words are counted by the power of two of their uses, which gives at most 64 rows to the driver.
+    """
+    power = F.floor(F.log2("uses")).cast("int")
+    sizes = vocab.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word") + 4 * F.col("n")).alias("chars")).collect()
+    words = chars = 0
+    for row in sorted(sizes, key=lambda r: -r.p):
+        words, chars = words + row.words, chars + row.chars
+        if words > BROADCAST_WORDS or chars > BROADCAST_CHARS:
+            return vocab.where(power > row.p)
+    return None
 
 
 def _placed_words(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -164,23 +173,40 @@ def _placed_words(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.xxhash64(text).alias("_row"), F.posexplode_outer(words_of(F.col(text))).alias("_pos", "word"))
 
 
+def _by_text(documents: DataFrame, path: str, key: str, text: str, column: str, gather: Callable[[Column], Column], add: Callable[[Column, Column], Column]) -> DataFrame:
+    """key, _row, out: `gather` over (position, the vocabulary's `column`) of each text's words.
+
+    A small vocabulary is broadcast and its words are never shuffled. Of a large one the most used words are; the others, which
+    are nearly all words but few of a text, are joined by a shuffle and their part is added to that of the common ones.
+    No word that a third of the texts share is ever a key of that shuffle.
+    """
+    vocab = vocabulary(documents, path, text)
+    common = _common(vocab)
+    placed = _placed_words(documents, key, text)
+    found = gather(F.when(F.col(column).isNotNull(), F.struct("_pos", column)))
+    if common is None:
+        return placed.join(F.broadcast(vocab.select("word", column)), "word", "left").groupBy(key, "_row").agg(found.alias("out"))
+    common = F.broadcast(common.select("word", column))
+    near = placed.join(common, "word", "left").groupBy(key, "_row").agg(found.alias("out"))
+    far = placed.where("word IS NOT NULL").join(common.select("word"), "word", "left_anti").join(vocab.select("word", column), "word").groupBy(key, "_row").agg(found.alias("rest"))
+    far = far.select(F.col(key).alias("_key"), F.col("_row").alias("_text"), "rest")
+    both = near.join(far, F.col(key).eqNullSafe(F.col("_key")) & F.col("_row").eqNullSafe(F.col("_text")), "left")
+    return both.select(key, "_row", F.when(F.col("rest").isNull(), F.col("out")).otherwise(add(F.col("out"), F.col("rest"))).alias("out"))
+
+
 def encode(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (array<int>): the ids of each text, without special tokens; an empty array for empty and null texts.
 
     One row for each different (key, text); further columns are not carried, so their names cannot clash.
     """
-    vocab = _beside(vocabulary(documents, path, text)).drop("n")
-    joined = _placed_words(documents, key, text).join(vocab, "word", "left")
-    ordered = F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("_pos", "ids"))))
-    ids = joined.groupBy(key, "_row").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
-    return ids.select(key, "ids")
+    rows = _by_text(documents, path, key, text, "ids", F.collect_list, F.concat)
+    return rows.select(key, F.flatten(F.transform(F.sort_array("out"), lambda x: x["ids"])).alias("ids"))
 
 
 def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, tokens: the number of ids of each text; 0 for empty and null texts."""
-    vocab = _beside(vocabulary(documents, path, text)).drop("ids")
-    joined = _placed_words(documents, key, text).join(vocab, "word", "left")
-    return joined.groupBy(key, "_row").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).select(key, "tokens")
+    rows = _by_text(documents, path, key, text, "n", lambda x: F.coalesce(F.sum(x["n"]), F.lit(0)), lambda a, b: a + b)
+    return rows.select(key, F.col("out").alias("tokens"))
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -293,11 +293,14 @@ def test_encoding_equals_two_reference_tokenizers(spark):
     assert counts == {i: len(v) for i, v in got.items()}
 
 
-def test_encoding_without_broadcast(spark, monkeypatch):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_encoding_with_a_large_vocabulary(spark, monkeypatch, most):
+    """Nothing, the most used words, or nearly all of them are broadcast; ids and counts stay the same."""
+    docs = spark.createDataFrame([*enumerate(TEXTS), (50, "a b a b, it's a b"), (51, None), (52, "")], "doc_id bigint, text string")
     want = {r.doc_id: r.ids for r in tokens.encode(docs, tokenizer_path()).collect()}
-    monkeypatch.setattr(tokens, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(tokens, "BROADCAST_WORDS", most)
     assert {r.doc_id: r.ids for r in tokens.encode(docs, tokenizer_path()).collect()} == want
+    assert {r.doc_id: r.tokens for r in tokens.token_counts(docs, tokenizer_path()).collect()} == {k: len(v) for k, v in want.items()}
 
 
 def test_long_words_merge_like_short_ones():
