@@ -136,6 +136,47 @@ def run_export_tables(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[
     return {"rows": len(rows)}, 0
 
 
+#: What the names of a group's metrics contain.
+METRIC_GROUPS = {"loss": ["loss"], "reward": ["reward"], "accuracy": ["accuracy", "exact_match", "f1"], "learning_rate": ["learning_rate"]}
+
+
+def run_export_metrics(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str, Any], int]:
+    """A trainer's JSONL log to a CSV table, with the metrics by group."""
+    log = spark.read.json(a.log)
+    if log.isEmpty():
+        raise ValueError(f"{a.log} is empty")
+    names = files.write_metrics_table(log, a.output)
+    return {"available_numeric_metrics": names, "groups": {g: reports.matching_keys(names, n) for g, n in METRIC_GROUPS.items()}}, 0
+
+
+#: Made-up records for a trial of the whole chain, by normaliser.
+SMOKE = {
+    "classification_records": [{"id": "a", "image": "images/a.jpg", "label": "Apple___Scab", "split": "train"}, {"id": "b", "image": "images/b.jpg", "all_labels": ["Rust", "Rust", "Mildew"], "split": "validation"}],
+    "vqa_records": [{"id": "a", "image": "images/a.jpg", "question": "Is it ill?", "answer": "yes", "split": "train"}, {"id": "b", "images": ["images/a.jpg", "images/b.jpg"], "query": "Which crop?", "response": "apple", "decision": "clarify", "task_type": "clarify_or_respond", "split": "test"}],
+    "consultation_records": [{"id": "a", "image": "images/a.jpg", "question": "What now?", "diagnosis": "Scab", "management_steps": ["prune", "mulch"], "split": "train"}],
+}
+
+
+def run_prepare_slots(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str, Any], int]:
+    """A folder with a note for every data set that has no raw data yet, or with made-up records."""
+    specs, tag, root = paths.load_registry(a.config), paths.subset_tag(a.mode, a.fraction), paths.data_root(".", a.data_root)
+    out = {}
+    for name, spec in specs.items():
+        raw = paths.render(spec.raw_dir, data_root=root, subset_tag=tag, dataset_name=name)
+        if files.has_raw_data(raw):
+            out[name] = "present"
+        elif a.with_smoke_data:
+            records = SMOKE.get(spec.normalizer, SMOKE["classification_records"])
+            files.write_sidecar(raw, {"dataset_name": name, "subset_tag": tag, "download_mode": a.mode, "sample_fraction": a.fraction, "source_type": "smoke", "materialized": True, "manual_required": False, "saved_rows": len(records)})
+            with open(os.path.join(raw, "records.jsonl"), "w", encoding="utf-8") as f:
+                f.writelines(json.dumps(r) + "\n" for r in records)
+            out[name] = "smoke"
+        else:
+            files.manual_slot(raw, name, "its raw files are not here yet")
+            out[name] = "manual_required"
+    return out, 0
+
+
 def run_benchmark_status(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str, Any], int]:
     """Benchmarks of a YAML file: ready if implemented and no required path is missing."""
     data = files.load_yaml(a.config)
@@ -188,6 +229,8 @@ def parser() -> argparse.ArgumentParser:
     add("validate-images", run_validate_images, ("--manifest", need), ("--root", {"default": "."}), ("--valid-output", {}), ("--invalid-output", {}), ("--allow-invalid", {"action": "store_true"}))
     add("evaluate", run_evaluate, ("--tasks", many), ("--mode", {"default": "oracle", "choices": ["oracle", "model", "echo"]}), ("--predictions", {}), ("--checkpoint", {}), ("--max-examples", {**whole, "default": 0}), ("--output", need))
     add("export-tables", run_export_tables, ("--runs", many), ("--output", need))
+    add("export-metrics", run_export_metrics, ("--log", need), ("--output", need))
+    add("prepare-slots", run_prepare_slots, ("--config", need), ("--with-smoke-data", {"action": "store_true"}), *scope)
     add("benchmark-status", run_benchmark_status, ("--config", need), ("--output", {}), *scope)
     add("dataset-report", run_dataset_report, ("--config", need), ("--output", {}), *scope)
     return top

@@ -124,3 +124,33 @@ def test_payloads_of_any_file(spark, tmp_path):
     for name in ("a.jsonl", "a.json", "a.csv"):
         rows = files.read_payloads(spark, str(tmp_path / name)).select("index", F.get_json_object("payload", "$.a").alias("a")).orderBy("index").collect()
         assert [tuple(r) for r in rows] == [(0, "1"), (1, "2")], name
+
+
+def test_slots_smoke_and_metrics(spark, tmp_path, capsys):
+    config, data = tmp_path / "r.yaml", tmp_path / "data"
+    files.write_yaml(str(config), {"datasets": [{"name": n, "normalizer": n} for n in ("classification_records", "vqa_records", "consultation_records")]})
+    assert set(run(spark, capsys, "prepare-slots", "--config", config, "--data-root", data)[0].values()) == {"manual_required"}
+    report, _ = run(spark, capsys, "dataset-report", "--config", config, "--data-root", data)
+    assert {d["status"] for d in report["datasets"].values()} == {"manual_required"}
+    other = tmp_path / "other"
+    assert set(run(spark, capsys, "prepare-slots", "--config", config, "--data-root", other, "--with-smoke-data")[0].values()) == {"smoke"}
+    made, _ = run(spark, capsys, "normalize", "--config", config, "--data-root", other)
+    assert {k: v["rows"] for k, v in made["summary"].items()} == {"classification_records": 2, "vqa_records": 2, "consultation_records": 1}
+    first = files.read_manifest(spark, made["summary"]["vqa_records"]["path"]).orderBy("sample_id").first()
+    assert json.loads(first.metadata)["source_type"] == "smoke" and files.manifest_rows(spark, made["summary"]["vqa_records"]["path"]) == 2 and files.manifest_rows(spark, "/none") == 0
+    (tmp_path / "log.jsonl").write_text('{"global_step": 1, "loss": 2.5, "note": "x"}\n{"global_step": 2, "loss": 1.5, "reward": 1}\n')
+    out, _ = run(spark, capsys, "export-metrics", "--log", tmp_path / "log.jsonl", "--output", tmp_path / "csv")
+    assert out["available_numeric_metrics"] == ["loss", "reward"] and out["groups"]["loss"] == ["loss"]
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["global_step", "loss", "reward"]
+
+
+def test_decode_mode_needs_a_library(spark, tmp_path):
+    import importlib.util
+
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8\xff\xe0")
+    if importlib.util.find_spec("PIL") is None:
+        with pytest.raises(RuntimeError):
+            files.check_images(spark, str(tmp_path), "decode")
+    assert files.check_images(spark, str(tmp_path)).first().error is None
+    with pytest.raises(ValueError):
+        files.check_images(spark, str(tmp_path), "other")
