@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,27 @@ def build_session(app: str = "graincart", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, unless they find it by PYTHONPATH or the working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in (os.path.abspath(p) for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()) if p):
+        return
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        path = os.path.join(tempfile.mkdtemp(prefix="graincart-"), "graincart.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(os.path.join(root, "graincart")):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(path)
+        _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make checkpoint() usable.
 
