@@ -1,6 +1,6 @@
 """The results of training-data queries stated in SQL, for DuckDB.
 
-p2, p8 and p9 have none: what a corpus says of broken-off texts, a tokenizer and a packing are tested against
+p2, p8_ids and p9 have none: what a corpus says of broken-off texts, a tokenizer and a packing are tested against
 brute force, reference tokenizers and bounds instead.
 """
 
@@ -23,7 +23,7 @@ def _letters(x: str) -> str:
 
 _CELLS = f"r AS (SELECT sample_id, {_name('source_dataset')} AS source_dataset, {_name('task_type')} AS task_type, {_split_name('split')} AS split FROM ({RECORDS}))"
 
-P1 = f"""WITH r AS (SELECT sample_id, {_split_name('split')} AS split, images FROM ({RECORDS})),
+_P1 = f"""WITH r AS (SELECT sample_id, {_split_name('split')} AS split, images FROM ({RECORDS})),
 s AS (SELECT DISTINCT sample_id, split = 'train' AS train, {_letters('image')} AS path FROM (SELECT sample_id, split, unnest(images) AS image FROM r WHERE split <> '')),
 i AS (SELECT DISTINCT {_letters('image_path')} AS path, content_sha, fingerprint FROM image_index),
 p AS (SELECT sample_id, train, s.path, content_sha, fingerprint FROM s LEFT JOIN i ON s.path = i.path WHERE s.path <> ''),
@@ -31,7 +31,7 @@ f AS (SELECT a.fingerprint AS fa, b.fingerprint AS fb FROM (SELECT DISTINCT fing
 m AS (SELECT a.sample_id AS a, b.sample_id AS b FROM p a JOIN p b ON a.path = b.path AND a.train AND NOT b.train
 UNION SELECT a.sample_id, b.sample_id FROM p a JOIN p b ON a.content_sha = b.content_sha AND a.train AND NOT b.train AND a.content_sha <> ''
 UNION SELECT a.sample_id, b.sample_id FROM f JOIN p a ON a.fingerprint = fa AND a.train JOIN p b ON b.fingerprint = fb AND NOT b.train)
-SELECT DISTINCT least(a, b) AS sample_id_a, greatest(a, b) AS sample_id_b FROM m"""
+"""
 
 P3 = f"""WITH {_CELLS}, n AS (SELECT source_dataset, count(*) AS n FROM r GROUP BY ALL)
 SELECT m.source_dataset FROM (SELECT {_name('source_dataset')} AS source_dataset, max(target_permille) AS t, max(max_repeats) AS k FROM mix_targets GROUP BY 1) m LEFT JOIN n ON m.source_dataset = n.source_dataset
@@ -88,7 +88,8 @@ P10 = rf"""WITH d AS (SELECT doc_id, text, {_SKELETON} AS s FROM documents WHERE
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.s = b.s AND a.text <> b.text AND a.doc_id < b.doc_id"""
 
 ORACLE = {
-    "p1_found": P1,
+    "p1_found": f"{_P1} SELECT DISTINCT least(a, b) AS sample_id_a, greatest(a, b) AS sample_id_b FROM m",
+    "p1_counts": f"{_P1}, o AS (SELECT sample_id AS b, {_split_name('split')} AS split, {_name('source_dataset')} AS source_dataset FROM ({RECORDS})) SELECT split, source_dataset, count(*) AS pairs, count(DISTINCT b) AS records FROM m JOIN o USING (b) GROUP BY ALL",
     "p3_found": P3,
     "p4_found": P4,
     "p5_found": f"SELECT field_name, value, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
@@ -96,5 +97,6 @@ ORACLE = {
     "p6_found": f"WITH {_GROUPS} SELECT group_id AS sample_id_a, sample_id AS sample_id_b FROM g WHERE sample_id <> group_id",
     "p6_records": f"WITH {_GROUPS} SELECT sample_id, copies FROM g WHERE sample_id = group_id",
     "p7_found": P7,
+    "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p10_found": P10,
 }

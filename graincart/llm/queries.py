@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib.util
 import os
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from graincart.llm import dedup, frequency, grouping, mixing, overlap, packing, pairs, quota, skeleton, tokens
 from graincart.llm.common import cells, first_deliveries, read
 from graincart.llm.oracle import ORACLE as ORACLE
-from graincart.session import cut_lineage
+from graincart.session import cut_lineage, ship_package
 
 #: Environment variable with the folder of the tokenizers' files; by default the installed package `public_tokenizers`.
 TOKENIZERS = "GRAINCART_TOKENIZERS"
@@ -191,8 +192,19 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return skeleton.with_skeleton(read(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "skeleton")
 
 
+def _with_workers(f):
+    """The query, after the package has been sent to Python workers that cannot import it."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, folder)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _with_workers(f)
     for f in (
         p1_found, p1_counts, p2_found, p3_found, p3_mix, p3_shares, p4_found, p4_splits, p5_found, p5_counts, p6_found, p6_records,
         p7_found, p7_sample, p7_report, p8_ids, p8_round_trip, p9_found, p9_containers, p9_fill, p10_found, p10_forms,
