@@ -171,6 +171,7 @@ DEFAULT_QUESTIONS = {
     "clarify_or_respond": "Decide whether to clarify first or respond directly, then act accordingly.",
     "": "Answer the agricultural question using only the evidence available in the image.",
 }
+#: Fixed value: the system turn of every normalised record.
 SYSTEM_PROMPT = "You are an agricultural vision-language assistant focused on ground-level RGB crop disease, pest, symptom, and consultation tasks."
 
 

@@ -27,6 +27,7 @@ QUESTIONS = ("question", "query", "prompt", "instruction", "dialog_context", "us
 ANSWERS = ("answer", "response", "utterance", "assistant_response", "expert_response", "label", "output")
 TRACK_QUESTIONS = ("dialog_context", "question", "query", "prompt", "user")
 TRACK_ANSWERS = ("utterance", "answer", "response", "assistant_response", "expert_response")
+#: Where a track finds its goals.
 GOALS = ("known_goal", "goals", "management_keywords")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -36,6 +38,7 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         path = os.path.join(tempfile.mkdtemp(prefix="graincart-"), "graincart.zip")
+        atexit.register(shutil.rmtree, os.path.dirname(path), True)
         with zipfile.ZipFile(path, "w") as z:
             for folder, _, names in os.walk(os.path.join(root, "graincart")):
                 for name in names:
@@ -63,6 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graincart-")
+        atexit.register(shutil.rmtree, folder, True)
     sc.setCheckpointDir(folder)
 
 
