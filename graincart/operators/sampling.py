@@ -89,9 +89,9 @@ def stratified_sample(rows: DataFrame, target: int, fields: list[str], floor: in
 
 
 def mode_first_seen(rows: DataFrame, group: list[str], value: str, order: str) -> DataFrame:
-    """The most frequent value of each group; ties go to the value seen first. Two aggregations, no window."""
+    """The most frequent value of each group; ties go to the value seen first, at one place to the larger value. Two aggregations, no window."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
-    return counts.groupBy(*group).agg(F.max_by(value, F.struct("_n", -F.col("_first"))).alias("mode"), F.max("_n").alias("n"))
+    return counts.groupBy(*group).agg(F.max_by(value, F.struct(F.col("_n"), -F.col("_first"), F.col(value))).alias("mode"), F.max("_n").alias("n"))
 
 
 def mode_of_array(values: Column) -> Column:

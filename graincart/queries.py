@@ -268,7 +268,7 @@ _PLACE = "l_linenumber::BIGINT * 100000000 + l_partkey"
 
 @query(
     f"WITH c AS (SELECT l_orderkey, l_returnflag, count(*) AS n, min({_PLACE}) AS first FROM lineitem GROUP BY ALL) "
-    "SELECT l_orderkey, l_returnflag AS mode, n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first) AS k FROM c) WHERE k = 1"
+    "SELECT l_orderkey, l_returnflag AS mode, n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first, l_returnflag DESC) AS k FROM c) WHERE k = 1"
 )
 def mode_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     """Line numbers repeat within an order, so the part tells its lines apart."""
