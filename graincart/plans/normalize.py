@@ -184,7 +184,7 @@ def vqa(rows: DataFrame, dataset: str, default_task: str = "vqa", license_name:
         parsed(rows), _answer=pick("answer", "response", "label"), _asked=pick("question", "query", "instruction"), _kind=pick("task_type"), _said=pick("decision", "expected_decision"),
         _shown=pick("images", "image_paths", "image", "img"),
     )
-    rows = _kept(rows, _answer=F.when(raw.startswith("["), F.get_json_object(raw, "$[0]")).otherwise(text_of(raw)), _asked=text_of(F.col("_asked")), _kind=F.coalesce(text_of(F.col("_kind")), F.lit(default_task)), _images=list_of(F.col("_shown")))
+    rows = _kept(rows, _answer=F.when(raw.startswith("["), F.get(list_of(raw), F.lit(0))).otherwise(text_of(raw)), _asked=text_of(F.col("_asked")), _kind=F.coalesce(text_of(F.col("_kind")), F.lit(default_task)), _images=list_of(F.col("_shown")))
     rows = _kept(rows, _decision=F.when(F.col("_kind") == "clarify_or_respond", normalize_decision(text_of(F.col("_said")))))
     answer, question, task, decision, images = (F.col(c) for c in ("_answer", "_asked", "_kind", "_decision", "_images"))
     clarify = task == "clarify_or_respond"

@@ -207,12 +207,12 @@ def decision_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"SELECT ord, round({_fraction('sample_id', 'demo')}, 12) AS fraction, CASE WHEN {_fraction('sample_id', 'demo')} < 0.8::DOUBLE THEN 'train' WHEN {_fraction('sample_id', 'demo')} < 0.9::DOUBLE THEN 'validation' ELSE 'test' END AS hashed, "
+    f"SELECT ord, {_fraction('sample_id', 'demo')} AS fraction, CASE WHEN {_fraction('sample_id', 'demo')} < 0.8::DOUBLE THEN 'train' WHEN {_fraction('sample_id', 'demo')} < 0.9::DOUBLE THEN 'validation' ELSE 'test' END AS hashed, "
     f"{_fraction('sample_id', 'held')} < 0.1::DOUBLE AS held FROM manifest"
 )
 def hash_splits(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("sample_id")
-    return read(spark, folder, "manifest").select("ord", F.round(stable_fraction(key, "demo"), 12).alias("fraction"), hash_split(key, "demo").alias("hashed"), is_holdout(key, "held", 0.1).alias("held"))
+    return read(spark, folder, "manifest").select("ord", stable_fraction(key, "demo").alias("fraction"), hash_split(key, "demo").alias("hashed"), is_holdout(key, "held", 0.1).alias("held"))
 
 
 @query(f"SELECT ord, {_group_key()} AS group_key FROM manifest")

@@ -158,12 +158,12 @@ def test_vqa_records(spark):
     rows = raw(spark, [
         {"id": 7, "img": "a", "query": "q?", "response": ["yes", "no"], "split": "test"},
         {"image": "a", "question": "", "instruction": "do", "answer": "", "label": "lab", "task_type": "clarify_or_respond", "decision": "<Ask>", "management_keywords": ["k"]},
-        {"image": "a", "question": "q", "answer": 0},
+        {"image": "a", "question": "q", "answer": 0}, {"image": "a", "question": "q", "answer": [None, "x"]}, {"image": "a", "question": "q", "answer": [3]},
     ])
     got = N.vqa(rows, "v", strict=False).orderBy("ord").collect()
     assert (got[0].sample_id, got[0].target.answer_text, got[0].verifier.mode, got[0].messages[1].content[-1].text) == ("v-7", "yes", "exact_match", "q?")
     assert (got[1].target.answer_text, got[1].target.decision, got[1].verifier.expected_decision, got[1].verifier.management_keywords) == ("lab", "clarify", "clarify", ["k"])
-    assert got[2].error == "row is missing an answer"
+    assert got[2].error == got[3].error == "row is missing an answer" and got[4].target.answer_text == "3"
 
 
 def test_consultation_records(spark):
