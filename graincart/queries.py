@@ -295,6 +295,32 @@ def merge_filter(spark: SparkSession, folder: str) -> DataFrame:
     return B.build_sft(_sources(read(spark, folder, "manifest")), most=200).select("source_ord", "ord", "sample_id")
 
 
+_NAMED = f"named AS (SELECT * REPLACE (lower({_ws('source_dataset')}) AS source_dataset) FROM manifest)"
+
+
+def _registered_sql(flag: str) -> str:
+    return f"{_NAMED}, sources AS (SELECT lower({_ws('source_dataset')}) AS source_dataset, row_number() OVER () - 1 AS source_ord FROM dataset_registry WHERE {flag})"
+
+
+def _named(manifest: DataFrame) -> DataFrame:
+    return manifest.withColumn("source_dataset", X.name_key("source_dataset"))
+
+
+def _registered(spark: SparkSession, folder: str, flag: str) -> list[str]:
+    """The names of the registry's sources with `flag`, in its order."""
+    return [r.name for r in read(spark, folder, "dataset_registry").where(flag).select(X.name_key("source_dataset").alias("name")).collect()]
+
+
+@query(
+    f"WITH {_registered_sql('include_in_sft')} SELECT source_ord::INTEGER AS source_ord, ord, sample_id FROM named JOIN sources USING (source_dataset) "
+    f"WHERE task_type IN {_in(B.SFT_TASKS)} AND coalesce(split, '') <> 'test'"
+)
+def merge_filter_all_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole merge: every source of the registry, however its name is written, and no cap."""
+    sources = _sources(_named(read(spark, folder, "manifest")), _registered(spark, folder, "include_in_sft"))
+    return B.build_sft(sources).select("source_ord", "ord", "sample_id")
+
+
 @query(
     f"WITH m AS ({_merged_sql('ord, images, target, verifier', B.RL_TASKS)}) SELECT source_ord, ord FROM m WHERE verifier.mode IN {_in(B.RL_MODES)} AND len(coalesce(images, [])) <= 1 "
     f"AND {_words("coalesce(nullif(target.answer_text, ''), target.canonical_label)")} <= 80"

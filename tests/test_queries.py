@@ -51,3 +51,11 @@ def test_core_stands_alone():
     code = "import sys; sys.modules['graincart.llm'] = None; import __spark_entry__ as e; print(len(e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     assert done.stdout.strip() == str(len(core.QUERIES)), done.stderr
+
+
+def test_merge_takes_every_source_without_a_cap(spark, tmp_path):
+    rows = [(i, f"s{i}", name, "vqa", "train") for i, name in enumerate(["plantdoc"] * 201 + [" PlantDoc ", "agrillava", "mirage", "elsewhere"])]
+    spark.createDataFrame(rows, "ord bigint, sample_id string, source_dataset string, task_type string, split string").write.parquet(f"{tmp_path}/manifest.parquet")
+    spark.createDataFrame([("plantdoc", True), ("mirage", False), ("agrillava", True)], "source_dataset string, include_in_sft boolean").coalesce(1).write.parquet(f"{tmp_path}/dataset_registry.parquet")
+    got = sorted((r.source_ord, r.ord) for r in core.QUERIES["merge_filter_all_sources"](spark, str(tmp_path)).collect())
+    assert got == [(0, i) for i in range(202)] + [(1, 202)]
