@@ -329,6 +329,16 @@ def rewardable_filter(spark: SparkSession, folder: str) -> DataFrame:
     return B.build_rl(_sources(read(spark, folder, "manifest"))).select("source_ord", "ord")
 
 
+@query(
+    f"WITH {_registered_sql('include_in_rl')} SELECT source_ord::INTEGER AS source_ord, ord FROM named JOIN sources USING (source_dataset) WHERE task_type IN {_in(B.RL_TASKS)} AND coalesce(split, '') <> 'test' "
+    f"AND verifier.mode IN {_in(B.RL_MODES)} AND len(coalesce(images, [])) <= 1 AND {_words("coalesce(nullif(target.answer_text, ''), target.canonical_label)")} <= 80"
+)
+def rewardable_filter_all_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole build: every source of the registry that it is for, however its name is written."""
+    sources = _sources(_named(read(spark, folder, "manifest")), _registered(spark, folder, "include_in_rl"))
+    return B.build_rl(sources).select("source_ord", "ord")
+
+
 _HELD = f"SELECT * REPLACE ('holdout' AS split) FROM manifest WHERE source_dataset IN {_in(_SOURCES)} AND coalesce(split, '') <> 'test' AND {_fraction(_group_key(), 'eval')} < 0.1::DOUBLE"
 _POOL = f"""held AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord DESC) AS k FROM ({_HELD}) WHERE len(images) <= 1),
 more AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord) AS k FROM manifest WHERE split IN ('validation', 'dev') AND len(images) <= 1 AND sample_id NOT IN (SELECT sample_id FROM held)),
@@ -337,8 +347,8 @@ _REASON = f"""marked AS (SELECT ord, source_dataset, CASE WHEN len(coalesce(imag
 WHEN sample_id IN (SELECT sample_id FROM pool) OR {_group_key()} IN (SELECT {_group_key()} FROM pool) THEN 'eval_overlap' END AS reason FROM manifest)"""
 
 
-def _held(manifest: DataFrame) -> DataFrame:
-    rows = manifest.where(F.col("source_dataset").isin(*_SOURCES))
+def _held(manifest: DataFrame, names=_SOURCES) -> DataFrame:
+    rows = manifest.where(F.col("source_dataset").isin(*names))
     return S.holdout(M.with_group(rows), F.col("group_key"), "eval", 0.1).drop("group_key")
 
 
@@ -369,6 +379,47 @@ def rejection_counts(spark: SparkSession, folder: str) -> DataFrame:
     return marked.groupBy("source_dataset", F.coalesce("reason", F.lit("train")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The sources of the local holdout; a benchmark has tracks of its own.
+_HOLDS = "include_in_eval AND task_family <> 'eval'"
+_WHOLE = f"WITH {_NAMED}, sources AS (SELECT lower({_ws('source_dataset')}) AS source_dataset FROM dataset_registry WHERE {_HOLDS})"
+_HELD_WHOLE = _HELD.replace("FROM manifest", "FROM named").replace(f"IN {_in(_SOURCES)}", "IN (SELECT source_dataset FROM sources)")
+_POOL_WHOLE = _POOL.replace(_HELD, _HELD_WHOLE).replace("FROM manifest", "FROM named")
+_REASON_WHOLE = _REASON.replace("FROM manifest", "FROM named")
+
+
+def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The manifest under the canonical names of its sources, which pictures are grouped and hashed by, and its holdout."""
+    rows = _named(read(spark, folder, "manifest"))
+    return rows, _held(rows, _registered(spark, folder, _HOLDS))
+
+
+def _marked_whole(spark: SparkSession, folder: str) -> DataFrame:
+    rows, held = _whole(spark, folder)
+    return M.train_rows(rows, M.eval_pool(held, rows, ("validation", "dev"), 1), ("train",), 1)
+
+
+@query(f"{_WHOLE} SELECT ord, sample_id FROM ({_HELD_WHOLE})")
+def holdout_rows_all_names(spark: SparkSession, folder: str) -> DataFrame:
+    return _whole(spark, folder)[1].select("ord", "sample_id")
+
+
+@query(f"{_WHOLE}, {_POOL_WHOLE} SELECT sample_id, ord, split FROM pool")
+def eval_pool_all_names(spark: SparkSession, folder: str) -> DataFrame:
+    rows, held = _whole(spark, folder)
+    return M.eval_pool(held, rows, ("validation", "dev"), 1).select("sample_id", "ord", "split")
+
+
+@query(f"{_WHOLE}, {_POOL_WHOLE}, {_REASON_WHOLE} SELECT ord, reason FROM marked")
+def leak_safe_train_all_names(spark: SparkSession, folder: str) -> DataFrame:
+    return _marked_whole(spark, folder).select("ord", "reason")
+
+
+@query(f"{_WHOLE}, {_POOL_WHOLE}, {_REASON_WHOLE} SELECT source_dataset, coalesce(reason, 'train') AS reason, count(*) AS n FROM marked GROUP BY ALL")
+def rejection_counts_all_names(spark: SparkSession, folder: str) -> DataFrame:
+    marked = _marked_whole(spark, folder)
+    return marked.groupBy("source_dataset", F.coalesce("reason", F.lit("train")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     f"WITH a AS (SELECT * FROM manifest WHERE split = 'train'), b AS (SELECT * FROM manifest WHERE split IN ('validation', 'dev', 'holdout')) "
     f"SELECT (SELECT count(*) FROM (SELECT sample_id FROM a INTERSECT SELECT sample_id FROM b)) AS exact_sample_id, (SELECT count(*) FROM (SELECT {_group_key()} FROM a INTERSECT SELECT {_group_key()} FROM b)) AS group_key"

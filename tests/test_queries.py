@@ -59,3 +59,22 @@ def test_merge_takes_every_source_without_a_cap(spark, tmp_path):
     spark.createDataFrame([("plantdoc", True), ("mirage", False), ("agrillava", True)], "source_dataset string, include_in_sft boolean").coalesce(1).write.parquet(f"{tmp_path}/dataset_registry.parquet")
     got = sorted((r.source_ord, r.ord) for r in core.QUERIES["merge_filter_all_sources"](spark, str(tmp_path)).collect())
     assert got == [(0, i) for i in range(202)] + [(1, 202)]
+
+
+def test_builds_and_holdout_take_every_source_and_spelling(spark, tmp_path):
+    names = [" PlantDoc " if i % 2 else "plantdoc" for i in range(100)] + ["plantvillage", "agrillava", "mirage"]
+    rows = [(i, f"s{i}", name, "vqa", "train", [f"{i // 2}.jpg"], ("yes", None), "{}", ("label",)) for i, name in enumerate(names)]
+    manifest = "ord bigint, sample_id string, source_dataset string, task_type string, split string, images array<string>, target struct<answer_text: string, canonical_label: string>, metadata string, verifier struct<mode: string>"
+    spark.createDataFrame(rows, manifest).write.parquet(f"{tmp_path}/manifest.parquet")
+    registry = [("plantvillage", "sft", True, False), ("plantdoc", "sft", True, True), ("mirage", "eval", True, True), ("agrillava", "sft", False, False)]
+    spark.createDataFrame(registry, "source_dataset string, task_family string, include_in_rl boolean, include_in_eval boolean").coalesce(1).write.parquet(f"{tmp_path}/dataset_registry.parquet")
+
+    def run(name):
+        return core.QUERIES[name](spark, str(tmp_path)).collect()
+
+    assert sorted((r.source_ord, r.ord) for r in run("rewardable_filter_all_sources")) == [(0, 100), *((1, i) for i in range(100)), (2, 102)]
+    held = {r.ord for r in run("holdout_rows_all_names")}
+    assert held and max(held) < 100 and {i ^ 1 for i in held} == held
+    assert {r.ord for r in run("eval_pool_all_names")} == held
+    assert {r.ord for r in run("leak_safe_train_all_names") if r.reason == "eval_overlap"} == held
+    assert {(r.source_dataset, r.reason): r.n for r in run("rejection_counts_all_names")}["plantdoc", "eval_overlap"] == len(held)
