@@ -554,6 +554,19 @@ def dataset_report(spark: SparkSession, folder: str) -> DataFrame:
     return P.dataset_report(read(spark, folder, "dataset_registry"), rows, downloads)
 
 
+@query(
+    f"WITH n AS (SELECT lower({_ws('source_dataset')}) AS name, count(*) AS rows FROM manifest GROUP BY ALL), d AS (SELECT lower({_ws('source_dataset')}) AS name, bool_and(coalesce(json_valid(payload), false)) AS manual FROM raw_records GROUP BY ALL) "
+    "SELECT source_dataset, task_family, coalesce(rows, 0) AS normalized_rows, CASE WHEN rows IS NOT NULL THEN 'normalized' WHEN manual THEN 'manual_required' WHEN manual IS NOT NULL THEN 'downloaded_only' ELSE 'missing' END AS status "
+    f"FROM (SELECT *, lower({_ws('source_dataset')}) AS name FROM dataset_registry) LEFT JOIN n USING (name) LEFT JOIN d USING (name)"
+)
+def dataset_report_all_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of the manifest counts, whatever its split, its task and the spelling of its source."""
+    name = X.name_key("source_dataset").alias("source_dataset")
+    rows = read(spark, folder, "manifest").groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
+    downloads = read(spark, folder, "raw_records").groupBy(name).agg(F.bool_and(F.try_parse_json("payload").isNotNull()).alias("manual_required"))
+    return P.dataset_report(_named(read(spark, folder, "dataset_registry")), rows, downloads)
+
+
 _PATHS = "SELECT task_family AS name, CASE task_family WHEN 'eval' THEN 'planned' ELSE 'implemented' END AS implementation_status, source_dataset AS path, include_in_eval AS required, rows IS NOT NULL AS found FROM dataset_registry LEFT JOIN (SELECT source_dataset, count(*) AS rows FROM manifest WHERE split = 'dev' GROUP BY ALL) USING (source_dataset)"
 
 
@@ -563,13 +576,27 @@ _PATHS = "SELECT task_family AS name, CASE task_family WHEN 'eval' THEN 'planned
 )
 def readiness_status(spark: SparkSession, folder: str) -> DataFrame:
     there = read(spark, folder, "manifest").where("split = 'dev'").select("source_dataset").distinct().withColumn("_there", F.lit(True))
-    paths = read(spark, folder, "dataset_registry").join(there, "source_dataset", "left").select(
+    return _readiness(read(spark, folder, "dataset_registry").join(there, "source_dataset", "left"))
+
+
+def _readiness(registry: DataFrame) -> DataFrame:
+    paths = registry.select(
         F.col("task_family").alias("name"), F.when(F.col("task_family") == "eval", "planned").otherwise("implemented").alias("implementation_status"), F.col("source_dataset").alias("path"),
         F.col("include_in_eval").alias("required"), F.col("_there").isNotNull().alias("exists"),
     )
     return P.readiness(paths)
 
 
+_PATHS_WHOLE = f"SELECT task_family AS name, CASE task_family WHEN 'eval' THEN 'planned' ELSE 'implemented' END AS implementation_status, lower({_ws('source_dataset')}) AS path, include_in_eval AS required, lower({_ws('source_dataset')}) IN (SELECT lower({_ws('source_dataset')}) FROM manifest) AS found FROM dataset_registry"
+
+
+@query(ORACLE["readiness_status"].replace(_PATHS, _PATHS_WHOLE))
+def readiness_status_all_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A data set with any row in the manifest is there."""
+    there = _named(read(spark, folder, "manifest")).select("source_dataset").distinct().withColumn("_there", F.lit(True))
+    return _readiness(_named(read(spark, folder, "dataset_registry")).join(there, "source_dataset", "left"))
+
+
 @query(
     "SELECT event_type, count(*)::DOUBLE AS metric_events, round(max(value), 6) AS metric_highest, round(sum(value), 2) AS metric_total FROM events GROUP BY event_type"
 )

@@ -78,3 +78,15 @@ def test_builds_and_holdout_take_every_source_and_spelling(spark, tmp_path):
     assert {r.ord for r in run("eval_pool_all_names")} == held
     assert {r.ord for r in run("leak_safe_train_all_names") if r.reason == "eval_overlap"} == held
     assert {(r.source_dataset, r.reason): r.n for r in run("rejection_counts_all_names")}["plantdoc", "eval_overlap"] == len(held)
+
+
+def test_reports_count_every_row(spark, tmp_path):
+    rows = [("mirage", "test", "consultation"), (" Mirage ", "train", "vqa"), ("ip102", "holdout", "classification")]
+    spark.createDataFrame(rows, "source_dataset string, split string, task_type string").write.parquet(f"{tmp_path}/manifest.parquet")
+    spark.createDataFrame([("agbase", "{}"), ("Agrillava", "{}"), ("agrillava", "{")], "source_dataset string, payload string").write.parquet(f"{tmp_path}/raw_records.parquet")
+    registry = [(n, "sft", True) for n in ("mirage", "ip102", "agbase", "agrillava", "plantdoc")]
+    spark.createDataFrame(registry, "source_dataset string, task_family string, include_in_eval boolean").write.parquet(f"{tmp_path}/dataset_registry.parquet")
+    got = {r.source_dataset: (r.normalized_rows, r.status) for r in core.QUERIES["dataset_report_all_rows"](spark, str(tmp_path)).collect()}
+    assert got == {"mirage": (2, "normalized"), "ip102": (1, "normalized"), "agbase": (0, "manual_required"), "agrillava": (0, "downloaded_only"), "plantdoc": (0, "missing")}
+    row = core.QUERIES["readiness_status_all_rows"](spark, str(tmp_path)).first()
+    assert (row.readiness_status, row.missing, row.missing_paths) == ("missing_data", 3, "agbase<br>agrillava<br>plantdoc")
