@@ -53,8 +53,6 @@ def says_nothing(answer: str | None) -> bool:
     """No letter or digit is left without tags and labels (`Answer:`, empty sections), or it is a word for nothing."""
     if answer is None:
         return True
-    if len(answer) > 60 and answer[0].isalnum() and "<" not in answer and ":" not in answer:
-        return False
     bare = _TAG.sub(" ", answer) if "<" in answer else answer
     if ":" in bare:
         lines = [x for x in bare.splitlines() if any(ch.isalnum() for ch in x)]
@@ -114,23 +112,11 @@ _SCRIPTS = re.compile(r"[ऀ-ॣ㐀-鿿]")
 _ENDS = re.compile(r"(?<=[.!?。।])\s+|\n+|(?<=[。।])")
 
 
-#: Words without one of which no sentence of the Latin alphabet can match the grammar.
-_TRIGGERS = frozenset(
-    "cannot not t unable decline refuse rather pass no blocked outside policy guidelines appropriate reasons permission prefer allowed permitted declined prohibited limits supported "
-    "ne aucun aucune dépasse depasse préfère prefere interdit impossible refuse consignes directives règles regles "
-    "prefiero ninguna niego normas reglas política politica políticas directrices fuera supera excede "
-    "nicht keine keinen kein keiner abgelehnt gesperrt richtlinien regeln vorgaben "
-    "não nao prefiro nenhuma recuso regras diretrizes fora ultrapassa".split()
-)
-
-
-def refuses(answer: str, said: list[str]) -> bool:
+def refuses(answer: str) -> bool:
     """Every sentence refuses or only accompanies a refusal, and one does refuse. Doubt within an answer is none.
 
-    `said` are the answer's words. A sentence that refuses and then goes on to answer (`I cannot ..., but ...`) is content.
+    A sentence that refuses and then goes on to answer (`I cannot ..., but ...`) is content.
     """
-    if len(said) < 3 or not (_TRIGGERS.intersection(said) or _SCRIPTS.search(answer)):
-        return False
     found = False
     for sentence in _ENDS.split(re.sub(r"\*\*[^*]{0,30}\*\*", " ", answer.lower().replace("’", "'"))):
         sentence = _BLANK.sub(" ", sentence).strip()
@@ -372,7 +358,7 @@ def inspect(question: str, answer: str | None) -> tuple[str | None, bool, list[s
         return "empty", False, none
     items = stream(answer)
     said = [w for w in items if w[0] not in _STOP]
-    if refuses(answer, said):
+    if refuses(answer):
         return "refusal", False, none
     asked, language_asked = question_of(question)
     if copies_question(asked, said):

@@ -81,6 +81,16 @@ def test_pairs_on_their_own(question, answer, defect):
     assert pairs.inspect(question, answer)[0] == defect
 
 
+@pytest.mark.parametrize("answer", ["Sorry, I cant help with that.", "We wont discuss this.", "Leider kann ich dazu nichts sagen.", "Leider kann ich dazu keinerlei Auskunft geben.", "Las politicas impiden responder.", "Me niego.", "Recuso.", "抱歉"])
+def test_refusals_of_any_length_and_spelling(answer):
+    assert pairs.inspect(Q, answer)[0] == "refusal"
+
+
+@pytest.mark.parametrize("answer", ["N/A" + " " * 80, "None" + "." * 80, " " * 80 + "n/a"])
+def test_padded_words_for_nothing(answer):
+    assert pairs.inspect(Q, answer)[0] == "empty"
+
+
 def test_tiling():
     a, b = "x a b c y a b c".split(), "a b c d".split()
     in_a, in_b = pairs.tiles(a, b, 3)
