@@ -415,9 +415,15 @@ def question_answer(manifest: DataFrame) -> DataFrame:
     return rows.where("task <> 'classification'").drop("task")
 
 
+def distinct_answers(pairs: DataFrame) -> DataFrame:
+    """answer: that of each distinct question and answer, whatever their case and spaces, so that copies of a pair count once in the corpus."""
+    pair = F.sha2(F.concat(name_key("question"), F.lit("\0"), name_key("answer")), 256)
+    return pairs.where("answer IS NOT NULL").groupBy(F.unhex(pair).alias("_pair")).agg(F.min("answer").alias("answer")).select("answer")
+
+
 def context_counts(pairs: DataFrame) -> DataFrame:
-    """context, n, ends over all answers, for every order. Tasks count before they shuffle, and shorter contexts are summed from the longest."""
-    longest = pairs.select("answer").mapInPandas(_count_contexts, "context string, n bigint, ends bigint").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    """context, n, ends over the answers of distinct pairs, for every order. Tasks count before they shuffle, and shorter contexts are summed from the longest."""
+    longest = distinct_answers(pairs).mapInPandas(_count_contexts, "context string, n bigint, ends bigint").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     shorter = [F.substring_index("context", " ", -n) for n in ORDERS]
     return longest.select(F.explode(F.array(*shorter)).alias("context"), "n", "ends").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
@@ -437,6 +443,7 @@ def defective_pairs(manifest: DataFrame) -> DataFrame:
     A null, blank or meaningless answer is `empty`; a null question copies nothing and has no language. An answer is
     `truncated` if it leaves a bracket, quotation, fence or tag open, dangles, or if the corpus says so of its last words: they
     are seen elsewhere and sentences don't end with them, or the last one is the beginning of longer words seen there.
+    Elsewhere means in other pairs: copies of one question and answer are one of them, and take their verdict together.
     """
     pairs = cut_lineage(question_answer(manifest))
     found = cut_lineage(pairs.mapInPandas(_inspect_rows, "sample_id string, defect string, stopped boolean, " + ", ".join(f"c{n} string" for n in ORDERS)))

@@ -105,6 +105,15 @@ def test_truncation_by_the_corpus(spark):
     assert got == {("s100", "truncated"), ("s101", "truncated")}
 
 
+def test_copies_of_a_truncated_answer_are_no_evidence(spark):
+    whole = "The spots on the lower leaves point to early blight, so remove the worst leaves and check again after {} days."
+    rows = [record(i, answer=whole.format(i)) for i in range(40)]
+    cut = ["The spots on the lower leaves point to early blight, so rem", "The spots on the lower leaves point"]
+    rows += [record(100 + i, answer=cut[i % 2] if i % 4 < 2 else f" {cut[i % 2].upper()} ") for i in range(40)]
+    got = {(r.sample_id, r.defect) for r in pairs.defective_pairs(frame(spark, "manifest", rows)).collect()}
+    assert got == {(f"s{100 + i}", "truncated") for i in range(40)}
+
+
 # ---------------------------------------------------------------- 3 and 7
 
 
