@@ -109,9 +109,13 @@ def look_alike_classes(documents: DataFrame, key: str = "doc_id", text: str = "t
 def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(`key`_a, `key`_b), smaller first: documents with equal skeletons and different strings.
 
-    Pairs of copies of one string are none, so that the pairs of a look are those between its different strings.
+    Pairs of copies of one string are none, so that the pairs of a look are those between its different strings: these are
+    paired first, and only then joined with the documents that hold them.
     """
     rows = look_alike_classes(documents, key, text)
-    a = rows.select("skeleton_id", F.col("text_id").alias("_ta"), F.col(key).alias(f"{key}_a"))
-    b = rows.select("skeleton_id", F.col("text_id").alias("_tb"), F.col(key).alias(f"{key}_b"))
-    return a.join(b, "skeleton_id").where((F.col("_ta") != F.col("_tb")) & (F.col(f"{key}_a") < F.col(f"{key}_b"))).select(f"{key}_a", f"{key}_b").distinct()
+    texts = rows.select("skeleton_id", "text_id").distinct()
+    other = texts.select("skeleton_id", F.col("text_id").alias("_tb"))
+    pairs = texts.select("skeleton_id", F.col("text_id").alias("_ta")).join(other, "skeleton_id").where("_ta < _tb").select("_ta", "_tb")
+    a, b = (rows.select(F.col("text_id").alias(t), F.col(key).alias(k)) for t, k in (("_ta", "_ka"), ("_tb", "_kb")))
+    met = pairs.join(a, "_ta").join(b, "_tb").where("_ka <> _kb")
+    return met.select(F.least("_ka", "_kb").alias(f"{key}_a"), F.greatest("_ka", "_kb").alias(f"{key}_b")).distinct()

@@ -397,6 +397,15 @@ def test_look_alike_pairs(spark):
     assert got == {(0, 1), (1, 2), (0, 8), (1, 8), (2, 8)}
 
 
+def test_looks_are_joined_by_their_strings_alone(spark):
+    """A string held by many documents is paired once with another of its look, not document by document."""
+    docs = spark.createDataFrame(list(enumerate(["cafe"] * 50 + ["c\u0430fe"])), "doc_id bigint, text string")
+    pairs_ = skeleton.look_alike_pairs(docs)
+    joins = [x for x in pairs_._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "skeleton_id" in x]
+    assert joins and not any("doc_id" in x for x in joins)
+    assert {tuple(r) for r in pairs_.collect()} == {(i, 50) for i in range(50)}
+
+
 def test_metadata_of_any_shape(spark):
     shapes = ["null", "[]", '"x"', "{}", '{"plant_id": 5}', '{"plant_id": [1]}', None, ""]
     rows = [{**record(i), "metadata": m} for i, m in enumerate(shapes)]
