@@ -95,6 +95,15 @@ def near_fingerprints(train: DataFrame, other: DataFrame, differ: int = DIFFER)
     return weighted_cosine_join(vectors(train), vectors(other), 1.0 - 2.0 * differ / BITS, cosine).select("id_a", "id_b")
 
 
+def same_names(train: DataFrame, other: DataFrame) -> DataFrame:
+    """id of each path or digest that both sides have (column `id`, distinct), as vectors of a single term."""
+
+    def vectors(side: DataFrame) -> DataFrame:
+        return side.select("id", F.xxhash64("id").alias("term"), F.lit(1.0).alias("weight"))
+
+    return weighted_cosine_join(vectors(train), vectors(other), 1.0, lambda a, b: (a == b).cast("double")).select(F.col("id_a").alias("id"))
+
+
 def shown_pictures(manifest: DataFrame, image_index: DataFrame) -> DataFrame:
     """Record, side and class of picture: (sample_id, split, source_dataset, train, kind, name).
 
@@ -117,12 +126,14 @@ def cross_split_pairs(manifest: DataFrame, image_index: DataFrame, differ: int =
     shown = cut_lineage(shown_pictures(manifest, image_index))
     train = shown.where("train").select(F.col("sample_id").alias("train_id"), "kind", "name")
     other = shown.where("NOT train").select(F.col("sample_id").alias("other_id"), F.col("split").alias("other_split"), F.col("source_dataset").alias("other_source"), "kind", "name")
-    same = train.join(other, ["kind", "name"]).drop("kind", "name")
+    named = F.concat("kind", "name")
+    equal = cut_lineage(same_names(train.where("kind <> 'f'").select(named.alias("id")).distinct(), other.where("kind <> 'f'").select(named.alias("id")).distinct()))
+    same = equal.join(train.withColumn("id", named).drop("kind", "name"), "id").join(other.withColumn("id", named).drop("kind", "name"), "id").drop("id")
 
     def prints(rows: DataFrame) -> DataFrame:
         return rows.where("kind = 'f'").select(F.col("name").cast("bigint").alias("id")).distinct()
 
-    near = cut_lineage(near_fingerprints(prints(train), prints(other), differ).where("id_a <> id_b"))
+    near = cut_lineage(near_fingerprints(prints(train), prints(other), differ))
     a = train.where("kind = 'f'").select("train_id", F.col("name").cast("bigint").alias("id_a"))
     b = other.where("kind = 'f'").select("other_id", "other_split", "other_source", F.col("name").cast("bigint").alias("id_b"))
     alike = near.join(a, "id_a").join(b, "id_b").select("train_id", "other_id", "other_split", "other_source")

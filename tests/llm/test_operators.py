@@ -59,6 +59,22 @@ def test_cross_split_pairs(spark):
     assert {(r.train_id, r.other_id, r.other_split) for r in got.collect()} == {("sa", "sb", "test"), ("sd", "sc", "validation"), ("sd", "se", "dev")}
 
 
+def test_equal_names_and_fingerprints_go_through_the_cosine_join(spark, monkeypatch):
+    rows = [record("a", images=["x.jpg"]), record("b", images=["x.jpg"], split="test"), record("c", images=["y.jpg"], split="dev")]
+    index = [{"image_path": p, "content_sha": None, "fingerprint": 7} for p in ("x.jpg", "y.jpg")]
+    joined, join = [], overlap.weighted_cosine_join
+
+    def spy(*args):
+        found = join(*args)
+        joined.extend((r.id_a, r.id_b) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(overlap, "weighted_cosine_join", spy)
+    got = overlap.cross_split_pairs(frame(spark, "manifest", rows), frame(spark, "image_index", index))
+    assert {(r.train_id, r.other_id) for r in got.collect()} == {("sa", "sb"), ("sa", "sc")}
+    assert set(joined) == {("pxjpg", "pxjpg"), (7, 7)}
+
+
 # ---------------------------------------------------------------- 2
 
 Q = "Why do the leaves of my tomato look like this?"
