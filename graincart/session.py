@@ -24,6 +24,7 @@ def build_session(app: str = "graincart", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -76,6 +77,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete what cut_lineage wrote for `tables`, which nothing reads any more."""
+    for df in tables:
+        written = df._jdf.queryExecution().logical()
+        if written.getClass().getSimpleName() == "LogicalRDD":
+            file = written.rdd().getCheckpointFile()
+            if file.isDefined():
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Tables up to this many rows are broadcast by hinted().
 SMALL = 100_000
 
