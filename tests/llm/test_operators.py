@@ -242,8 +242,8 @@ def test_splits_keep_groups_and_shares(spark, monkeypatch):
         first.setdefault(g, r)
     groups = spark.createDataFrame([(r, first[g]) for r, _, _, g in rows if g != "g0"], "sample_id string, group_id string")
     targets = frame(spark, "split_targets", TARGETS["split_targets"])
-    for shard in (20_000, 200):
-        monkeypatch.setattr(grouping, "SHARD", shard)
+    for most in (50_000, 0):
+        monkeypatch.setattr(grouping, "MOST_SETS", most)
         got = grouping.assign_splits(records, groups, targets).collect()
         assert len(got) == 4000 and len({(r.group_id, r.split) for r in got}) == len({r.group_id for r in got})
         share = Counter(r.split for r in got)
@@ -256,6 +256,39 @@ def test_splits_keep_groups_and_shares(spark, monkeypatch):
         grouping.assign_splits(records, groups, targets.limit(0))
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_a_block_is_placed_like_its_groups_one_by_one(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        need, size, groups = [rng.randrange(-50, 100) for _ in range(rng.randrange(1, 5))], rng.randrange(1, 9), rng.randrange(0, 40)
+        left, want = list(need), [0] * len(need)
+        for _ in range(groups):
+            i = max(range(len(left)), key=lambda s: (left[s], -s))
+            want[i] += 1
+            left[i] -= size
+        assert grouping.pour(groups, size, need) == want
+
+
+def test_turns_take_the_rarest_outstanding_label(spark):
+    sets = [(("a",), {"a": 9}), (("a", "b"), {"a": 1, "b": 3}), (("b", "c"), {"b": 7, "c": 2}), (("c", "d"), {"c": 5, "d": 5})]
+    # d 5, c 7, b 10, a 10; with d goes c's 5, with c (2 left) b's 7, then b (3 left), then a
+    assert sorted(grouping.turns(sets), key=grouping.turns(sets).get) == ["d", "c", "b", "a"]
+    table = spark.createDataFrame([(list(x), c) for x, c in sets], "labels array<string>, counts map<string,bigint>")
+    assert grouping._turns_by_passes(table) == grouping.turns(sets)
+
+
+@pytest.mark.parametrize("copies", [1, 100, 10_000])
+def test_rare_labels_keep_their_proportions(copies):
+    """A label of 100 groups among any number of others, alone or beside a frequent one."""
+    blocks = [("rare", ["rare"], [1], 100, 0), ("scarce", ["often", "scarce"], [3, 1], 10, 1), ("often", ["often"], [2], copies, 2), ("often", ["often"], [1], 100 * copies, 3)]
+    totals = {"rare": 100, "scarce": 10, "often": 30 + 102 * copies}
+    need = [{label: n * part for label, n in totals.items()} for part in (800, 100, 100)]
+    got = dict(grouping.place(blocks, need, 1000))
+    assert got[0] == [80, 10, 10] and got[1] == [8, 1, 1]
+    often = [3 * got[1][s] + 2 * got[2][s] + got[3][s] for s in range(3)]
+    assert all(abs(n - totals["often"] * part / 1000) <= 2 for n, part in zip(often, (800, 100, 100)))
+
+
 # ---------------------------------------------------------------- 5
 
 
