@@ -43,11 +43,10 @@ def components(records: DataFrame) -> DataFrame:
     """(sample_id, group_id) of each record that shares a key with another one; group_id is the smallest id it is related to.
 
     Each round points every node to the smallest node among those that share a key with it, follows these pointers
-    one step further, and replaces nodes by where they lead; keys left with one node are done with. Whatever it is replaced by is
-    related to a node and smaller, so rounds may stop short of the pointers' ends, and each halves the nodes at least. A key held by a third of
-    all records is combined before its shuffle, and its pointers all lead to one node, so it is one edge after the
-    first round. The edges and pointers of a round are written to the checkpoint folder, and its edges deleted when the next
-    ones are there. Only row counts reach the driver.
+    to their ends, doubling the step, and replaces nodes by those ends; keys left with one node are done with. Nodes halve at least in every
+    round, so there are about log2 of the longest chain of them. A key held by a third of all records is combined
+    before its shuffle, and its pointers all lead to one node, so it is one edge after the first round. The edges and pointers of a round
+    are written to the checkpoint folder and deleted when the next ones are there. Only row counts reach the driver.
     """
     edges = records.select(F.col("sample_id").alias("node"), F.explode("keys").alias("key"))
     steps: list[DataFrame] = []
@@ -59,9 +58,15 @@ def components(records: DataFrame) -> DataFrame:
             release(before)
         if live.isEmpty():
             break
-        parents = live.groupBy("node").agg(F.min("low").alias("root"))
-        up = parents.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        parents = cut_lineage(parents.join(up, "root").select("node", F.col("_next").alias("root")))
+        parents, last = live.groupBy("node").agg(F.min("low").alias("root")), None
+        while True:
+            up = parents.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+            jumped = cut_lineage(parents.join(up, "root").select("node", F.col("_next").alias("root"), (F.col("_next") < F.col("root")).alias("moved")))
+            if last is not None:
+                release(last)
+            parents, last = jumped.select("node", "root"), jumped
+            if jumped.where("moved").isEmpty():
+                break
         steps.append(parents)
         edges = live.join(parents, "node").select(F.col("root").alias("node"), "key").distinct()
     if not steps:
