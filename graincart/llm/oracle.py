@@ -90,6 +90,10 @@ SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.s = b.s
 ORACLE = {
     "p1_found": f"{_P1} SELECT DISTINCT least(a, b) AS sample_id_a, greatest(a, b) AS sample_id_b FROM m",
     "p1_counts": f"{_P1}, o AS (SELECT sample_id AS b, {_split_name('split')} AS split, {_name('source_dataset')} AS source_dataset FROM ({RECORDS})) SELECT split, source_dataset, count(*) AS pairs, count(DISTINCT b) AS records FROM m JOIN o USING (b) GROUP BY ALL",
+    "p1_pictures": f"""{_P1}, k AS (SELECT sample_id, train, unnest([{{'kind': 'p', 'name': path}}, {{'kind': 's', 'name': nullif(content_sha, '')}}, {{'kind': 'f', 'name': fingerprint::VARCHAR}}]) AS v FROM p),
+c AS (SELECT train, v.kind AS kind, v.name AS name, count(DISTINCT sample_id) AS n FROM k WHERE v.name IS NOT NULL GROUP BY ALL)
+SELECT a.kind, a.name AS name_a, b.name AS name_b, a.n AS train_records, b.n AS other_records FROM c a JOIN c b ON a.train AND NOT b.train AND a.kind = b.kind
+WHERE CASE WHEN a.kind = 'f' THEN (TRY_CAST(a.name AS BIGINT), TRY_CAST(b.name AS BIGINT)) IN (SELECT (fa, fb) FROM f) ELSE a.name = b.name END""",
     "p3_found": P3,
     "p4_found": P4,
     "p5_found": f"SELECT field_name, value, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",

@@ -45,6 +45,11 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.col("other_split").alias("split"), F.col("other_source").alias("source_dataset")).agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("other_id").alias("records"))
 
 
+def p1_pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """The pictures that both sides show, with the number of records on each: the pairs before they are expanded."""
+    return overlap.shared_pictures(read(spark, folder, "manifest"), read(spark, folder, "image_index"))
+
+
 # 2 -----------------------------------------------------------------------------------------------------------
 
 
@@ -206,7 +211,7 @@ def _with_workers(f):
 QUERIES = {
     f.__name__: _with_workers(f)
     for f in (
-        p1_found, p1_counts, p2_found, p3_found, p3_mix, p3_shares, p4_found, p4_splits, p5_found, p5_counts, p6_found, p6_records,
+        p1_found, p1_counts, p1_pictures, p2_found, p3_found, p3_mix, p3_shares, p4_found, p4_splits, p5_found, p5_counts, p6_found, p6_records,
         p7_found, p7_sample, p7_report, p8_ids, p8_round_trip, p9_found, p9_containers, p9_fill, p10_found, p10_forms,
     )
 }

@@ -46,8 +46,8 @@ def test_near_fingerprints(spark, monkeypatch, blocks):
 
     a, b = {near(x, 3) for x in base} | {0, -1}, {near(x, 6) for x in base} | {-(2**63), 15, 31}
     monkeypatch.setattr(overlap, "blocks_for", lambda n: blocks)
-    ids = lambda v: spark.createDataFrame([(x,) for x in v], "id bigint")
-    got = {tuple(r) for r in overlap.near_fingerprints(ids(a), ids(b)).collect()}
+    ids = lambda v: spark.createDataFrame([("f", x) for x in v], "kind string, id bigint")
+    got = {tuple(r) for r in overlap.alike_pictures(ids(a), ids(b)).collect()}
     assert got == {(x, y) for x in a for y in b if bin((x ^ y) & (2**64 - 1)).count("1") <= 4} and len(got) >= 10
 
 
@@ -59,20 +59,42 @@ def test_cross_split_pairs(spark):
     assert {(r.train_id, r.other_id, r.other_split) for r in got.collect()} == {("sa", "sb", "test"), ("sd", "sc", "validation"), ("sd", "se", "dev")}
 
 
-def test_equal_names_and_fingerprints_go_through_the_cosine_join(spark, monkeypatch):
-    rows = [record("a", images=["x.jpg"]), record("b", images=["x.jpg"], split="test"), record("c", images=["y.jpg"], split="dev")]
-    index = [{"image_path": p, "content_sha": None, "fingerprint": 7} for p in ("x.jpg", "y.jpg")]
+def test_every_kind_of_value_goes_through_the_cosine_join(spark, monkeypatch):
+    rows = [record("a", images=["x.jpg"]), record("b", images=["x.jpg"], split="test"), record("c", images=["y.jpg"], split="dev"), record("d", images=["z.jpg"], split="dev")]
+    index = [{"image_path": p, "content_sha": s, "fingerprint": f} for p, s, f in (("x.jpg", "h", 7), ("y.jpg", None, 3), ("z.jpg", "h", None))]
     joined, join = [], overlap.weighted_cosine_join
 
     def spy(*args):
         found = join(*args)
-        joined.extend((r.id_a, r.id_b) for r in found.collect())
+        joined.extend((r.id_a, r.id_b, round(r.cosine, 6)) for r in found.collect())
         return found
 
     monkeypatch.setattr(overlap, "weighted_cosine_join", spy)
-    got = overlap.cross_split_pairs(frame(spark, "manifest", rows), frame(spark, "image_index", index))
-    assert {(r.train_id, r.other_id) for r in got.collect()} == {("sa", "sb"), ("sa", "sc")}
-    assert set(joined) == {("pxjpg", "pxjpg"), (7, 7)}
+    tables = frame(spark, "manifest", rows), frame(spark, "image_index", index)
+    got = overlap.cross_split_pairs(*tables)
+    assert {(r.train_id, r.other_id) for r in got.collect()} == {("sa", "sb"), ("sa", "sc"), ("sa", "sd")}
+    # the path, the digest and the fingerprint itself, and one that differs by a bit: ten of fifteen choices are untouched
+    assert len(joined) == 4 and sorted(c for _, _, c in joined)[1:] == [1, 1, 1] and 0.6 < min(c for _, _, c in joined) < 0.7
+    classes = {tuple(r) for r in overlap.shared_pictures(*tables).collect()}
+    assert classes == {("p", "xjpg", "xjpg", 1, 1), ("s", "h", "h", 1, 2), ("f", "7", "7", 1, 1), ("f", "7", "3", 1, 1)}
+
+
+def test_vectors_are_pruned(spark):
+    """Terms that the other side lacks, and those that cannot reach the threshold, are not looked up."""
+    left = spark.createDataFrame([(1, t, math.sqrt(w)) for t, w in ((10, 0.5), (11, 0.3), (12, 0.1), (13, 0.1))], "id bigint, term bigint, weight double")
+    right = spark.createDataFrame([(i, t, math.sqrt(w)) for i in range(5) for t, w in ((12, 0.1), (13, 0.1), (20 + i, 0.8))] + [(9, 10, math.sqrt(0.5)), (9, 11, math.sqrt(0.5))], "id bigint, term bigint, weight double")
+    (row,) = overlap.pruned_vectors(left, right, 0.8).collect()
+    assert [x.term for x in row.kept] == [11] and sorted(x.term for x in row.rest) == [10, 12, 13]
+    (row,) = overlap.pruned_vectors(left, right.where("term < 11 OR term > 11"), 0.5).collect()
+    assert 11 not in [x.term for x in row.kept + row.rest]
+    got = overlap.weighted_cosine_join(left, right, 0.8).collect()
+    assert [(r.id_a, r.id_b) for r in got] == [(1, 9)] and got[0].cosine == pytest.approx(math.sqrt(0.25) + math.sqrt(0.15))
+
+
+def test_a_hot_picture_is_one_row(spark):
+    rows = [record(i, images=["hot.jpg"], split="train" if i % 2 else "test") for i in range(60)]
+    (row,) = overlap.shared_pictures(frame(spark, "manifest", rows), frame(spark, "image_index", [])).collect()
+    assert (row.name_a, row.train_records, row.other_records) == ("hotjpg", 30, 30)
 
 
 # ---------------------------------------------------------------- 2
