@@ -1,7 +1,7 @@
 """Encoding of the whole corpus with a public byte-level BPE tokenizer, and back.
 
 The distinct words of the corpus are encoded once each: higher-order functions fold the merges of lowest rank over the
-array of a word's bytes, with the ranks as a literal map. The words' ids are then put in the places of the words.
+array of a word's bytes, with the ranks as a literal map. The words of a text are then looked up as one array.
 """
 
 from __future__ import annotations
@@ -10,14 +10,17 @@ import base64
 import heapq
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.session import cut_lineage
+from graincart.session import cut_lineage, hinted
 
 #: How text is cut into words before the merges: the public tokenizers' pattern, with Unicode classes switched on.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -26,7 +29,7 @@ SLOTS = 1 << 14
 NO_RANK = 2**31 - 1
 #: Words of more bytes are merged with a heap: a fold copies its arrays at each step, so its cost grows with their square.
 LONG_WORD = 200
-#: As many of the most used words as this many rows and characters hold are broadcast; beyond, the join is shuffled.
+#: As many of the most used words as this many rows and characters hold are broadcast; the others are joined by a shuffle.
 BROADCAST_WORDS, BROADCAST_CHARS = 400_000, 8_000_000
 
 
@@ -163,35 +166,81 @@ def _common(vocab: DataFrame) -> DataFrame | None:
     return None
 
 
-def _placed_words(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key, _row, _pos, word: one row for each word; one with null word for a text without any.
-
-    Rows are brought together by key before they are exploded, so that the words of a text need no shuffle to meet
-    again; repeated rows are dropped there. `_row` tells different texts of one key apart.
+def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """key and text of each different row. Keys alone are counted, so that only texts of repeated keys are shuffled."""
+    rows = documents.select(key, text)
+    repeats = hinted(rows.select(key).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_key")))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(repeats, same, "left_anti").unionByName(rows.join(repeats, same, "left_semi").dropDuplicates([key, text]))
+
+
+class _Vocabulary:
+    """Words with their ids as Arrow arrays, made once a Python worker from what was broadcast."""
+
+    def __init__(self, sent) -> None:
+        table = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
+        self.words = table["word"].combine_chunks() if table.num_rows else pa.array([], pa.string())
+        self.ids = table["ids"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+        self.sizes = np.diff(self.ids.offsets.to_numpy())
+
+    def look_up(self, words: pa.ListArray, counts_only: bool) -> tuple[pa.Array, pa.Array]:
+        """(ids or their number, gaps) of each text. A gap is a word that isn't here, with how many ids of the text come before it."""
+        flat, ends = words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py()
+        place = pc.index_in(flat, value_set=self.words)
+        known = place.is_valid().to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(flat), dtype=np.int64)
+        at = place.fill_null(0).to_numpy()
+        if len(self.sizes):
+            sizes = np.where(known, self.sizes[at], 0)
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        of_texts = before[ends]
+        missing = np.flatnonzero(~known)
+        text_of = np.searchsorted(ends, missing, side="right") - 1
+        gaps = pa.StructArray.from_arrays([pa.array((before[missing] - of_texts[text_of]).astype(np.int32)), flat.take(pa.array(missing))], ["at", "word"])
+        gaps = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, ends).astype(np.int32)), gaps)
+        if counts_only:
+            return pa.array(np.diff(of_texts)), gaps
+        ids = self.ids.take(place.drop_null()).flatten().cast(pa.int32())
+        return pa.ListArray.from_arrays(pa.array(of_texts.astype(np.int32)), ids), gaps
+
+
+def _looked_up(documents: DataFrame, path: str, key: str, text: str, counts_only: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(key, _row, out, gaps) of each text, and the vocabulary that gaps are looked up in; None if there are no gaps.
+
+    The words of a text go to Python as one array, and come back as ids in the same row: nothing is shuffled. Of a large vocabulary
+    only the most used words are broadcast, and gaps are the others.
     """
-    rows = documents.select(key, text).repartition(_tasks(documents), key).dropDuplicates([key, text])
-    return rows.select(key, F.xxhash64(text).alias("_row"), F.posexplode_outer(words_of(F.col(text))).alias("_pos", "word"))
+    vocab = vocabulary(documents, path, text)
+    common = _common(vocab)
+    sent = (vocab if common is None else common).select("word", "ids").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])) as out:
+        out.write_table(sent.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])))
+    shared = documents.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, _row bigint, out {'bigint' if counts_only else 'array<int>'}, gaps array<struct<at:int,word:string>>"
+
+    def look_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Vocabulary(shared)
+        for part in parts:
+            made, gaps = table.look_up(part.column(2), counts_only)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made, gaps], [key, "_row", "out", "gaps"])
 
+    rows = _rows(documents, key, text).select(key, F.xxhash64(text).alias("_row"), words_of(F.col(text)).alias("_words"))
+    found = rows.mapInArrow(look_up, schema)
+    return (found, None) if common is None else (found, vocab)
 
-def _by_text(documents: DataFrame, path: str, key: str, text: str, column: str, gather: Callable[[Column], Column], add: Callable[[Column, Column], Column]) -> DataFrame:
-    """key, _row, out: `gather` over (position, the vocabulary's `column`) of each text's words.
 
-    A small vocabulary is broadcast and its words are never shuffled. Of a large one the most used words are; the others, which
-    are nearly all words but few of a text, are joined by a shuffle and their part is added to that of the common ones.
-    No word that a third of the texts share is ever a key of that shuffle.
+def _fill(found: DataFrame, vocab: DataFrame | None, key: str, column: str) -> DataFrame:
+    """`found` with `filled`: (place of the gap, ids or their number) of each gap of a text, in order; no column if there are no gaps.
+
+    Gaps are nearly all words but few of a text. Their words are no key that a third of the texts share, since those are broadcast.
     """
-    vocab = vocabulary(documents, path, text)
-    common = _common(vocab)
-    placed = _placed_words(documents, key, text)
-    found = gather(F.when(F.col(column).isNotNull(), F.struct("_pos", column)))
-    if common is None:
-        return placed.join(F.broadcast(vocab.select("word", column)), "word", "left").groupBy(key, "_row").agg(found.alias("out"))
-    common = F.broadcast(common.select("word", column))
-    near = placed.join(common, "word", "left").groupBy(key, "_row").agg(found.alias("out"))
-    far = placed.where("word IS NOT NULL").join(common.select("word"), "word", "left_anti").join(vocab.select("word", column), "word").groupBy(key, "_row").agg(found.alias("rest"))
-    far = far.select(F.col(key).alias("_key"), F.col("_row").alias("_text"), "rest")
-    both = near.join(far, F.col(key).eqNullSafe(F.col("_key")) & F.col("_row").eqNullSafe(F.col("_text")), "left")
-    return both.select(key, "_row", F.when(F.col("rest").isNull(), F.col("out")).otherwise(add(F.col("out"), F.col("rest"))).alias("out"))
+    if vocab is None:
+        return found
+    found = cut_lineage(found)
+    far = found.select(key, "_row", F.posexplode("gaps").alias("_pos", "g")).select(key, "_row", "_pos", "g.at", "g.word").join(vocab.select("word", F.col(column).alias("more")), "word")
+    far = far.groupBy(key, "_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "at", "more"))).alias("filled")).select(F.col(key).alias("_key"), F.col("_row").alias("_text"), "filled")
+    return found.join(far, F.col(key).eqNullSafe(F.col("_key")) & F.col("_row").eqNullSafe(F.col("_text")), "left").drop("_key", "_text")
 
 
 def encode(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,14 +248,25 @@ def encode(documents: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     One row for each different (key, text); further columns are not carried, so their names cannot clash.
     """
-    rows = _by_text(documents, path, key, text, "ids", F.collect_list, F.concat)
-    return rows.select(key, F.flatten(F.transform(F.sort_array("out"), lambda x: x["ids"])).alias("ids"))
+    found, vocab = _looked_up(documents, path, key, text, False)
+    rows = _fill(found, vocab, key, "ids")
+    if vocab is None:
+        return rows.select(key, F.col("out").alias("ids"))
+    # before each gap, the ids from the last one on; after the last gap, the rest
+    start, size = F.lit(0), F.size("filled")
+    before = F.transform("filled", lambda x, i: F.concat(F.slice("out", F.when(i > 0, F.get(F.col("filled"), i - 1)["at"]).otherwise(start) + 1, x["at"] - F.when(i > 0, F.get(F.col("filled"), i - 1)["at"]).otherwise(start)), x["more"]))
+    last = F.get(F.col("filled"), size - 1)["at"]
+    rest = F.slice("out", last + 1, F.size("out") - last)
+    return rows.select(key, F.when(F.col("filled").isNull(), F.col("out")).otherwise(F.concat(F.flatten(before), rest)).alias("ids"))
 
 
 def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, tokens: the number of ids of each text; 0 for empty and null texts."""
-    rows = _by_text(documents, path, key, text, "n", lambda x: F.coalesce(F.sum(x["n"]), F.lit(0)), lambda a, b: a + b)
-    return rows.select(key, F.col("out").alias("tokens"))
+    found, vocab = _looked_up(documents, path, key, text, True)
+    rows = _fill(found, vocab, key, "n")
+    if vocab is None:
+        return rows.select(key, F.col("out").alias("tokens"))
+    return rows.select(key, (F.col("out") + F.coalesce(F.aggregate("filled", F.lit(0).cast("bigint"), lambda a, x: a + x["more"]), F.lit(0))).alias("tokens"))
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
