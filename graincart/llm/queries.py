@@ -172,7 +172,7 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _packed(spark, folder).where("parts > 1 AND part = 1").select("doc_id")
+    return packing.divided(_packed(spark, folder))
 
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:

@@ -410,30 +410,84 @@ def test_long_words_merge_like_short_ones():
 # ---------------------------------------------------------------- 9
 
 
+def containers(sizes, capacity):
+    """The container of each item, by the fillings."""
+    stock, out, number = {}, [None] * len(sizes), 0
+    for i, size in enumerate(sizes):
+        if size:
+            stock.setdefault(size, []).append(i)
+    for times, held in packing.fillings({s: len(v) for s, v in stock.items()}, capacity):
+        for _ in range(times):
+            for size in held:
+                out[stock[size].pop()] = number
+            number += 1
+    assert not any(stock.values())
+    return out
+
+
+def one_by_one(sizes, capacity):
+    """Best-two-fit with a list of items: the sizes in each container."""
+    left, out = sorted(x for x in sizes if x), []
+    while left:
+        held = []
+        while fitting := [x for x in left if x <= capacity - sum(held)]:
+            held.append(max(fitting))
+            left.remove(max(fitting))
+        while sum(held) < capacity:
+            low = min(held)
+            room = capacity - sum(held) + low
+            pairs_ = [(a + b, -min(a, b)) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= room and a + b > low]
+            if not pairs_:
+                break
+            both, small = max(pairs_)
+            held.remove(low)
+            for x in (-small, both + small):
+                left.remove(x)
+                held.append(x)
+            left = sorted([*left, low])
+        out.append(tuple(sorted(held)))
+    return Counter(out)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_packing_is_valid_and_tight(seed):
     rng = random.Random(seed)
     capacity = rng.choice([10, 100, 2048])
     sizes = [rng.randrange(0, capacity + 1) if seed % 2 else max(1, int(rng.gauss(capacity / 5, capacity / 9))) % (capacity + 1) for _ in range(rng.randrange(1, 600))]
-    where = packing.best_two_fit(sizes, capacity)
+    where = containers(sizes, capacity)
     fill = Counter()
     for size, c in zip(sizes, where):
         fill[c] += size
     assert max(fill.values(), default=0) <= capacity
     used, least = len({c for s, c in zip(sizes, where) if s}), -(-sum(sizes) // capacity)
-    assert used <= max(least + 1, 1.25 * least) and packing.best_two_fit([], capacity) == []
+    assert used <= max(least + 1, 1.25 * least) and containers([], capacity) == []
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_repeated_fillings_are_those_of_items_one_by_one(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([rng.randrange(1, 21), 7, 3]) for _ in range(rng.randrange(1, 120))]
+    got = Counter()
+    for times, held in packing.fillings(Counter(sizes), 20):
+        got[tuple(sorted(held))] += times
+    assert got == one_by_one(sizes, 20)
+
+
+def test_the_work_does_not_grow_with_the_items():
+    made = list(packing.fillings({s: 10**9 // s for s in range(1, 2049)}, 2048))
+    assert len(made) < 20_000 and sum(t for t, _ in made) - sum(s * (10**9 // s) for s in range(1, 2049)) / 2048 < 2
 
 
 def test_two_fit_replaces_the_smallest():
     # greedy takes 6 and 3 and leaves 1; 2 + 2 fill the gap that the 3 leaves
-    assert len(set(packing.best_two_fit([6, 3, 2, 2], 10))) == 2
-    where = packing.best_two_fit([6, 3, 2, 2], 10)
+    assert len(set(containers([6, 3, 2, 2], 10))) == 2
+    where = containers([6, 3, 2, 2], 10)
     assert where[0] == where[2] == where[3] != where[1]
 
 
 def test_pack_divides_only_what_is_too_large(spark):
     items = spark.createDataFrame([(1, 25), (2, 10), (3, 0), (4, None), (5, 9), (6, 20)], "doc_id bigint, tokens bigint")
-    got = packing.pack(items, capacity=10, shard=3).collect()
+    got = packing.pack(items, capacity=10).collect()
     parts = {}
     for r in got:
         parts.setdefault(r.doc_id, []).append((r.part, r.parts, r.tokens, r.container is None))
@@ -442,6 +496,7 @@ def test_pack_divides_only_what_is_too_large(spark):
     for r in got:
         fill[r.container] += r.tokens
     assert max(fill.values()) <= 10
+    assert sorted(r.doc_id for r in packing.divided(packing.pack(items, capacity=10)).collect()) == [1, 6]
 
 
 # ---------------------------------------------------------------- 10
