@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-#: More leaves than this are refused, since they are held by the driver.
-MOST_LEAVES = 100_000
+from collections.abc import Sequence
+from dataclasses import dataclass
+from fractions import Fraction
 
 
 @dataclass
 class Leaf:
-    """A category: `path` from the root's child down, its `weight`, what it can give at most, what it should give at least."""
+    """A category: `path` from the root's child down, its `weight`, what it can give at most, what it should give at least.
+
+    An allocation sets the rest: its whole `demand`, what is `given`, what it `lacks` of its exact part of the total, and whether it is `below` its floor.
+    """
 
     path: tuple[str, ...]
-    weight: int
+    weight: int | Fraction
     capacity: int
     floor: int = 0
     demand: int = 0
     given: int = 0
-    notes: list[str] = field(default_factory=list)
-
-    @property
-    def short(self) -> int:
-        return max(0, self.demand - self.given)
+    lacks: Fraction = Fraction(0)
+    below: bool = False
 
 
-def portions(total: int, weights: list[int]) -> list[int]:
+def portions(total: int, weights: Sequence[int | Fraction]) -> list[int]:
     """`total` in proportion to `weights` by largest remainder; ties go to the earlier one. No weight, no portion."""
     whole = sum(weights)
     if total <= 0 or whole <= 0:
@@ -56,17 +55,19 @@ def _pour(leaves: list[Leaf], amount: int) -> int:
     return amount
 
 
-def allocate(leaves: list[Leaf], total: int) -> int:
-    """Set demand and given of each leaf, top down, and return how much of `total` nobody could give.
+def allocate(leaves: list[Leaf], total: int, base: int | None = None) -> int:
+    """Set demand, given, lacks and below of each leaf, top down, and return how much of `total` nobody could give.
 
     Each node's part of the total is its leaves' weight; a leaf gets its part, at least its floor, at most its
     capacity. What a leaf cannot give goes to its siblings, what they cannot give to the cousins below the next
     ancestor, and so on up to the root, always by weight. If the floors ask for more than their parts, the leaves
-    with the most above their floors give way. The order of the leaves only decides ties.
+    with the most above their floors give way. The order of the leaves only decides ties. A leaf's exact part, which it may lack some of, is its weight
+    in `base` (by default, in the sum of the weights).
     """
-    if len(leaves) > MOST_LEAVES:
-        raise ValueError(f"{len(leaves)} categories; at most {MOST_LEAVES} are supported")
+    base = base or sum(x.weight for x in leaves)
     for leaf, part in zip(leaves, portions(total, [x.weight for x in leaves])):
+        leaf.lacks = max(Fraction(0), Fraction(total) * leaf.weight / base - leaf.capacity) if base else Fraction(0)
+        leaf.below = leaf.capacity < leaf.floor
         leaf.demand = part
         leaf.given = min(leaf.capacity, max(part, leaf.floor))
     over = sum(x.given for x in leaves) - total

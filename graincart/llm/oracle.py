@@ -1,13 +1,11 @@
 """The results of training-data queries stated in SQL, for DuckDB.
 
-p2, p8_ids and p9 have none: what a corpus says of broken-off texts, a tokenizer and a packing are tested against
-brute force, reference tokenizers and bounds instead.
+What a corpus says of broken-off texts, a tokenizer, an allocation with its draws and a packing have none: they are tested
+against brute force, reference tokenizers and bounds, and the pN_checks state in SQL what must hold of their results.
 """
 
 from __future__ import annotations
 
-from graincart.llm.grouping import PLACEHOLDERS
-from graincart.llm.skeleton import ARMENIAN, CHEROKEE, COPTIC, CYRILLIC, GREEK, WIDTHLESS
 from graincart.queries import WS, _in, _nl, _split_name, _ws
 
 RECORDS = "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord) AS k FROM manifest WHERE sample_id IS NOT NULL) WHERE k = 1"
@@ -39,6 +37,10 @@ WHERE coalesce(n, 0) * k * 1000 < t * (SELECT count(*) FROM r)"""
 
 
 
+#: Fixed values, stated here on their own: ids that say nothing.
+PLACEHOLDERS = ("", "na", "nan", "none", "null", "nil", "unknown", "anonymous", "anon", "undefined", "unspecified", "notavailable", "missing", "tbd", "0")
+
+
 def _key(kind: str, field: str, scope: str = "") -> str:
     ident = _letters(f"json_extract_string(metadata, '$.{field}')")
     middle = f"{scope} || chr(31) || " if scope else ""
@@ -76,12 +78,24 @@ P7 = f"""WITH {_CELLS}, {_WANTED}, n AS (SELECT source_dataset, task_type, split
 SELECT source_dataset, task_type, split FROM w LEFT JOIN n USING (source_dataset, task_type, split)
 WHERE coalesce(n, 0) < least OR coalesce(n, 0) * 1000 < t * ((SELECT count(*) FROM r) // 10)"""
 
-_PAIRS = [pair for table in (GREEK, CYRILLIC, ARMENIAN, CHEROKEE, COPTIC) for pair in zip(*table)]
+#: Fixed values, stated here on their own: letters of other alphabets that occur in the tables, and characters without a width.
+_PAIRS = [
+    pair
+    for table in (
+        ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυϲϳ", "ABEZHIKMNOPTYXavopucj"),
+        ("АВЕЅІЈКМНОРСТУҮХԌԚԜаеорсуүхѕіјһԁԛԝӏ", "ABESIJKMHOPCTYYXGQWaeopcyyxsijhdqwl"),
+        ("ՍՏՕհոսօզ", "USOhnuoq"),
+        ("ᎪᎫᎬᎳᎷᎻᎢᏀᏃᏚᏟᏢᏦᏴ", "AJEWMHTGZSCPKB"),
+        ("ⲞⲟⲢⲣⲤⲥⲔⲘⲚⲎⲦⲬ", "OoPpCcKMNHTX"),
+    )
+    for pair in zip(*table)
+]
+_WIDTHLESS = [0x00AD, 0x034F, 0x061C, *range(0x180B, 0x180F), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
 _WIDE = [(chr(0xFF01 + i), chr(0x21 + i)) for i in range(94)]
 _SPACES = [(chr(c), " ") for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
 _FROM = "".join(a for a, _ in _PAIRS + _WIDE + _SPACES)
 _TO = "".join(b for _, b in _PAIRS + _WIDE + _SPACES).replace("'", "''")
-_DROP = "".join(rf"\x{{{c:x}}}" for c in WIDTHLESS)
+_DROP = "".join(rf"\x{{{c:x}}}" for c in _WIDTHLESS)
 #: Composed forms in place of decomposed ones: DuckDB only has NFC, and the two tell the same texts apart.
 _SKELETON = f"nfc_normalize(translate(regexp_replace(nfc_normalize(text), '[{_DROP}]+', '', 'g'), '{_FROM}', '{_TO}'))"
 P10 = rf"""WITH d AS (SELECT doc_id, text, {_SKELETON} AS s FROM documents WHERE text IS NOT NULL), v AS (SELECT * FROM d WHERE regexp_matches(s, '[^\p{{Cc}}\p{{Cf}}{WS[1:-1]}]'))
@@ -95,12 +109,19 @@ c AS (SELECT train, v.kind AS kind, v.name AS name, count(DISTINCT sample_id) AS
 SELECT a.kind, a.name AS name_a, b.name AS name_b, a.n AS train_records, b.n AS other_records FROM c a JOIN c b ON a.train AND NOT b.train AND a.kind = b.kind
 WHERE CASE WHEN a.kind = 'f' THEN (TRY_CAST(a.name AS BIGINT), TRY_CAST(b.name AS BIGINT)) IN (SELECT (fa, fb) FROM f) ELSE a.name = b.name END""",
     "p3_found": P3,
+    "p3_checks": f"""WITH {_CELLS}, n AS (SELECT source_dataset, count(*) AS n FROM r GROUP BY ALL), m AS (SELECT {_name('source_dataset')} AS source_dataset, max(target_permille) AS t, max(max_repeats) AS k FROM mix_targets GROUP BY 1)
+SELECT source_dataset, coalesce(n, 0) AS records, coalesce(n, 0) * k AS capacity, coalesce(n, 0) * k * 1000 < t * (SELECT count(*) FROM r) AS falls_short, true AS within, true AS met, true AS whole FROM m LEFT JOIN n USING (source_dataset)""",
     "p4_found": P4,
+    "p4_checks": P4[: P4.rindex("SELECT group_id, sample_id")] + "SELECT (SELECT count(*) FROM r) AS records, (SELECT count(DISTINCT group_id) FROM g) AS groups, 0 AS parted, true AS within",
     "p5_found": f"SELECT field_name, value, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p5_counts": _TERMS,
     "p6_found": f"WITH {_GROUPS} SELECT group_id AS sample_id_a, sample_id AS sample_id_b FROM g WHERE sample_id <> group_id",
     "p6_records": f"WITH {_GROUPS} SELECT sample_id, copies FROM g WHERE sample_id = group_id",
     "p7_found": P7,
+    "p7_checks": f"""WITH {_CELLS}, {_WANTED}, n AS (SELECT source_dataset, task_type, split, count(*) AS n FROM r GROUP BY ALL)
+SELECT source_dataset, task_type, split, coalesce(n, 0) AS records, coalesce(n, 0) < least OR coalesce(n, 0) * 1000 < t * ((SELECT count(*) FROM r) // 10) AS unmet, true AS within, true AS least, true AS once, true AS given FROM w LEFT JOIN n USING (source_dataset, task_type, split)""",
+    "p9_checks": "SELECT count(DISTINCT doc_id) AS documents, true AS fits, true AS tight FROM documents",
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p10_found": P10,
+    "p10_classes": P10[: P10.index("SELECT a.doc_id")] + "SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) - count(*) OVER (PARTITION BY s, text) AS links FROM v QUALIFY links > 0",
 }

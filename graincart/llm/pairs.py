@@ -407,11 +407,16 @@ def _inspect_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["sample_id", "defect", "stopped", *[f"c{n}" for n in ORDERS]])
 
 
-def question_answer(manifest: DataFrame) -> DataFrame:
-    """sample_id, question, answer of each record that is no classification; the question is the text of the user's messages."""
+def question_texts() -> Column:
+    """The text of the user's messages; empty without any."""
     asked = F.filter("messages", lambda m: F.lower(m["role"]) == "user")
     texts = F.flatten(F.transform(asked, lambda m: F.transform(F.filter(m["content"], lambda p: p["text"].isNotNull()), lambda p: p["text"])))
-    rows = first_deliveries(manifest, task=name_key("task_type"), question=F.coalesce(F.array_join(texts, " "), F.lit("")), answer=F.col("target.answer_text"))
+    return F.coalesce(F.array_join(texts, " "), F.lit(""))
+
+
+def question_answer(manifest: DataFrame) -> DataFrame:
+    """sample_id, question, answer of each record that is no classification; the question is the text of the user's messages."""
+    rows = first_deliveries(manifest, task=name_key("task_type"), question=question_texts(), answer=F.col("target.answer_text"))
     return rows.where("task <> 'classification'").drop("task")
 
 

@@ -1,6 +1,7 @@
 """Small tables in the shape of the test tables."""
 
 import json
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ SCHEMAS = {
 
 def record(i, question="Which crop is shown?", answer="It is a tomato plant.", images=("a.jpg",), source="src", task="vqa", split="train", label=None, meta=None, ord=None):
     return {
-        "ord": len(str(i)) * 1000 + hash(str(i)) % 1000 if ord is None else ord, "sample_id": f"s{i}", "source_dataset": source, "task_type": task, "split": split, "images": None if images is None else list(images),
+        "ord": len(str(i)) * 1000 + zlib.crc32(str(i).encode()) % 1000 if ord is None else ord, "sample_id": f"s{i}", "source_dataset": source, "task_type": task, "split": split, "images": None if images is None else list(images),
         "messages": [{"role": "system", "content": [{"type": "text", "text": "Answer."}]}, {"role": "user", "content": [*[{"type": "image", "image": p} for p in images or ()], {"type": "text", "text": question}]}],
         "target": {"answer_text": answer, "canonical_label": label}, "metadata": json.dumps(meta or {}), "ingested_at": None,
     }

@@ -8,7 +8,7 @@ from tests.llm.build import SCHEMAS, TARGETS, folder, frame, record, rows
 from tests.test_queries import compare, tables  # noqa: F401
 
 #: Queries that only aggregate what another one gives.
-DERIVED = ("p1_counts", "p3_found", "p3_shares", "p5_found", "p7_found", "p7_report", "p8_round_trip", "p9_fill", "p6_records")
+DERIVED = ("p1_counts", "p1_pictures", "p3_found", "p3_shares", "p3_token_shares", "p3_checks", "p4_checks", "p5_found", "p6_records", "p7_found", "p7_report", "p7_checks", "p8_round_trip", "p9_fill", "p9_checks", "p10_classes")
 MAIN = [n for n in Q.QUERIES if n not in DERIVED]
 MANIFEST_QUERIES = [n for n in MAIN if not n.startswith(("p8", "p9", "p10"))]
 DOCUMENT_QUERIES = [n for n in MAIN if n.startswith(("p8", "p9", "p10"))]
@@ -18,9 +18,9 @@ CLASHES = ["_row", "_pos", "word", "ids", "n", "tokens", "container", "part", "s
 
 @pytest.mark.parametrize("name", list(Q.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    """No rows, but for the reports on targets (none here) and the one-row fill."""
+    """No rows, but for the reports on targets (none here) and those of one row."""
     path = folder(spark, tmp_path, split_targets=TARGETS["split_targets"])
-    assert Q.QUERIES[name](spark, path).count() == (1 if name == "p9_fill" else 0)
+    assert Q.QUERIES[name](spark, path).count() == (1 if name in ("p4_checks", "p9_checks", "p9_fill") else 0)
 
 
 NULLS = [

@@ -203,6 +203,31 @@ def test_mix(spark):
     assert shares[("src", None)] == pytest.approx(made["src"].given * 10) and ("src", "vqa") in shares
 
 
+def test_mix_by_languages_and_tokens(spark):
+    """Languages are leaves of their own: what one lacks comes from the other source in that language first. Sizes are those of the records."""
+    rows = [(f"{s}-{lang}-{i}", s, "vqa", lang, size) for s, lang, n, size in (("src", "en", 10, 3), ("src", "de", 10, 3), ("other", "en", 40, 7), ("other", "de", 10, 5)) for i in range(n)]
+    records = spark.createDataFrame(rows, "sample_id string, source_dataset string, task_type string, language string, tokens int").repartition(3)
+    targets, registry = frame(spark, "mix_targets", TARGETS["mix_targets"]), frame(spark, "dataset_registry", TARGETS["dataset_registry"])
+    report = {(r.source_dataset, r.language): r for r in mixing.budgets(records, targets, registry, size="tokens").collect()}
+    total = 60 + 280 + 50
+    assert report["src", "en"].capacity == 60 == report["src", "en"].given and report["src", "de"].falls_short and not report["other", "en"].falls_short
+    assert sum(r.given for r in report.values()) == total and report["other", "de"].given == 50
+    table = mixing.budgets(records, targets, registry, size="tokens")
+    mixed = mixing.mix(records, table, size="tokens").collect()
+    used = Counter()
+    for r in mixed:
+        used[r.source_dataset, r.language] += r.copies * r.tokens
+    # a prefix leaves less room than its next record takes
+    assert all(0 <= report[k].given - n < 7 for k, n in used.items()) and used["src", "en"] == 60
+    assert {r.sample_id: r.copies for r in mixing.mix(records.repartition(5), table, size="tokens").collect()} == {r.sample_id: r.copies for r in mixed}
+
+
+def test_languages_of_records(spark):
+    rows = [record(1), record(2, question="Was hilft gegen Thripse?", answer="Es sind nur wenige zu sehen."), record(3, question="水稻叶片上的褐色", answer=None), {"ord": 9, "sample_id": "s9"}]
+    got = {r.sample_id: r.language for r in mixing.mixable(frame(spark, "manifest", rows)).collect()}
+    assert got == {"s1": "en", "s2": "de", "s3": "zh", "s9": ""}
+
+
 def test_sample(spark):
     records = cells(spark, {("src", "vqa", "train"): 200, ("src", "vqa", "test"): 60, ("other", "vqa", "dev"): 1, ("none", "x", "train"): 39})
     report = quota.plan_sample(records, frame(spark, "sample_targets", TARGETS["sample_targets"]))
@@ -516,6 +541,26 @@ def test_skeletons():
         assert skeleton.skeleton(skeleton.skeleton(a)) == skeleton.skeleton(a) and skeleton.skeleton(skeleton.skeleton(b)) == skeleton.skeleton(b)
 
 
+def test_public_confusables(spark):
+    """Letters of other alphabets and planes, fonts and selectors look like what they are; case, digits, dots and accents still tell apart."""
+    table = skeleton.confusables(spark)
+    same = [("ɑ", "a"), ("ɡ", "g"), ("ⅼ", "l"), ("Ⅰ", "I"), ("ѵ", "v"), ("Ꭱ", "R"), ("ᎠᎡᏞᏙ", "DRLV"), ("Ӏ", "I"), ("Ϲ", "C"), ("Ϳ", "J"), ("ց", "g"), ("𝐈𝑙𝓂", "Ilm"), ("𝚨", "A"), ("ꓲꓮ", "IA"), ("x\U000e0100", "x"), ("a\ufff9b", "ab"), ("Ԛ", "Q")]
+    for a, b in same:
+        assert skeleton.skeleton(a, table) == skeleton.skeleton(b, table), (a, b)
+    for a, b in OTHER + [("I", "l"), ("m", "rn"), ("0", "O"), ("𝟏", "1"), ("〇", "O"), ("ø", "o")]:
+        assert skeleton.skeleton(a, table) != skeleton.skeleton(b, table), (a, b)
+    for a, b in SAME + OTHER + same:
+        assert skeleton.skeleton(skeleton.skeleton(a, table), table) == skeleton.skeleton(a, table), a
+    assert len(table) > 1000 and all(skeleton.skeleton(chr(c), table) == chr(c) for c in range(128))
+
+
+@pytest.mark.parametrize("copies", [3, 20_000])
+def test_classes_of_looks_are_linear(spark, copies):
+    docs = spark.range(copies).selectExpr("id AS doc_id", "'cafe' AS text").unionByName(spark.createDataFrame([(-1, "c\u0430fe"), (-1, "c\u0430fe"), (-2, "other"), (-3, None)], "doc_id bigint, text string"))
+    got = {(r.class_id, r.links): r.n for r in skeleton.look_alike_members(docs).groupBy("class_id", "links").agg(F.count("doc_id").alias("n")).collect()}
+    assert got == {(-1, 1): copies, (-1, copies): 1}
+
+
 def test_look_alike_pairs(spark):
     texts = ["café", "café", "café", "cafe", "​", "  ", None, "", "ｃafé"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
