@@ -351,7 +351,7 @@ def test_frequencies(spark):
 
 def test_trie():
     rng = random.Random(5)
-    keys = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 40))) for _ in range(3000)] + ["", "a" * 100, "a" * 100, "a" * 101]
+    keys = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 40))) for _ in range(3000)] + [b"", b"a" * 100, b"a" * 100, b"a" * 101]
     trie = dedup.Trie()
     for i, k in enumerate(keys):
         trie.add(k, str(i))
@@ -380,6 +380,19 @@ def test_copies_equal_brute_force(spark, fits):
     assert got == want
 
 
+def test_long_common_prefixes_and_large_records(spark):
+    """One level splits a bucket wherever its records differ first, and buckets are bounded by their bytes too."""
+    rows = [(f"r{i:03}", b"x" * 5000 + f"{i % 90:03}".encode()) for i in range(180)] + [(f"s{i}", b"same" * 1000) for i in range(40)]
+    df = spark.createDataFrame(rows, "sample_id string, _canon binary")
+    got = dedup.radix_buckets(df, 1000, 30_000).collect()
+    assert len(got) == 220 and {r.sample_id: bytes(r._canon) for r in got} == dict(rows)
+    size = Counter()
+    for r in got:
+        size[bytes(r._bucket)] += len(r._canon) / r._pieces
+        assert bytes(r._canon).startswith(bytes(r._bucket))
+    assert max(size.values()) <= 30_000 and {r._pieces for r in got if r.sample_id < "s"} == {1}
+
+
 # ---------------------------------------------------------------- 8
 
 TEXTS = [
