@@ -44,13 +44,16 @@ def stream(text: str) -> list[str]:
 # ---------------------------------------------------------------- nothing said
 
 #: Texts that stand for no answer, as letters and digits in lower case.
-NOTHING = frozenset(["", "na", "null", "none given", "nan", "nil", "undefined", "none", "noanswer", "tbd", "todo", "empty", "blank", "unanswered", "keineangabe", "sinrespuesta", "sansreponse", "semresposta"])
+NOTHING = frozenset(["", "na", "null", "nonegiven", "nan", "nil", "undefined", "none", "noanswer", "tbd", "todo", "empty", "blank", "unanswered", "keineangabe", "sinrespuesta", "sansreponse", "semresposta"])
+#: Those that answer a question for a number, or whether there are any; and such questions.
+NUMBERS = frozenset(["nil", "none"])
+_COUNTS = re.compile(r"\bhow (?:many|much)\b|\bnumber of\b|\bany\b|\bcombien\b|\bcu[aá]nt[oa]s?\b|\bquant[oa]s?\b|\bwie ?viele?\b|कितन|几|多少")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,40}>")
 _LABEL = re.compile(r"^[\s>*#-]*(?:\*\*)?[A-Za-z][\w -]{0,24}(?:\*\*)?\s*:\s*$")
 
 
-def says_nothing(answer: str | None) -> bool:
-    """No letter or digit is left without tags and labels (`Answer:`, empty sections), or it is a word for nothing."""
+def says_nothing(answer: str | None, question: str = "") -> bool:
+    """No letter or digit is left without tags and labels (`Answer:`, empty sections), or it is a word for nothing, and no number that was asked for."""
     if answer is None:
         return True
     bare = _TAG.sub(" ", answer) if "<" in answer else answer
@@ -64,16 +67,20 @@ def says_nothing(answer: str | None) -> bool:
             said.append(ch)
             if len(said) > 20:  # longer than any of them
                 return False
-    return "".join(said) in NOTHING
+    word = "".join(said)
+    return word in NOTHING and not (word in NUMBERS and _COUNTS.search(question.lower()))
 
 
 # ---------------------------------------------------------------- refusals
 
-#: A refusal grammar: a sentence refuses if one of these matches it in lower case. Grouped by what is said.
+#: A refusal grammar: a sentence refuses if one of these productions derives a part of it, in lower case. Most are of the form
+#: inability - gap - act of answering, or matter - gap - denial; the act is never left out, so that doubt (`I cannot say for certain`) is none.
 _REFUSES = re.compile(
     "|".join(
         [
             # who answers cannot, may not or will not say or do something about it
+            r"\b(?:i|we) (?:do not|don'?t)\b.{0,10}\b(?:discuss|answer|comment|talk|advise|respond|handle|give (?:advice|answers))\b",
+            r"\b(?:falls?|is|lies|goes) (?:outside|beyond)\b.{0,20}\b(?:i|we) (?:can|may|am|are|do)\b|\b(?:falls?|is|lies|goes) (?:outside|beyond) (?:my|our) (?:scope|remit|role|limits|guidelines)\b",
             r"\b(?:can(?:no|')?t|cannot|could not|can not|won'?t|will not|unable to|not able to|not in a position to|refuse to|decline to|must decline|have to decline|rather not|prefer not to|not going to|am not allowed|not permitted)\b.{0,25}\b(?:help|assist|answer|answering|comply|respond|discuss|say|speak|talk|comment|give|provide|offer|share|describe|look into|process|advise)\b",
             r"\b(?:i|we) (?:do not|don'?t) have (?:the )?permission\b|\b(?:do|does) not (?:permit|allow)\b|\bnot allowed\b|\b(?:allowed|permitted) to (?:discuss|answer|say|share|comment)",
             r"\bhave to pass on\b|\bpass on this\b|\bnot going there\b|\bnot a (?:subject|topic) for me\b",
@@ -89,7 +96,7 @@ _REFUSES = re.compile(
             # German
             r"\b(?:kann|darf|werde|m[oö]chte|will) (?:ich|wir)?\b.{0,40}\b(?:nicht|keine?n?)\b.{0,40}\b(?:beantworten|helfen|antworten|auskunft|sagen|geben|[aä]u[sß]+ern|sprechen|eingehen)|\b(?:kann|darf|werde) ich dazu\b.{0,15}\b(?:keine|nicht)|\b[aä]u[sß]+ere ich mich\b.{0,20}\bnicht\b|\bkeine (?:auskunft|antwort|stellungnahme)\b|\bist mir nicht (?:erlaubt|gestattet|m[oö]glich)\b|\b(?:anfrage|frage|thema)\b.{0,40}\b(?:nicht|abgelehnt|gesperrt)\b.{0,30}\b(?:beantwort|bearbeit|zul[aä]ss|erlaubt|behandel)",
             # Portuguese
-            r"\bn[aã]o (?:posso|podemos|vou|quero|estou autorizad[oa]|me [eé] permitido|tenho permiss[aã]o|consigo)\b.{0,25}\b(?:ajudar|responder|comentar|falar|opinar|dar|tratar|dizer|oferecer)?|\bprefiro n[aã]o\b|\b(?:esta|sua) (?:pergunta|quest[aã]o|solicita[cç][aã]o)\b.{0,40}\b(?:n[aã]o (?:pode|ser[aá])|fora|ultrapassa|excede)|\bnenhuma resposta\b|\brecuso",
+            r"\bn[aã]o (?:posso|podemos|vou|quero|estou autorizad[oa]|me [eé] permitido|tenho permiss[aã]o|consigo)\b.{0,25}\b(?:ajudar|auxiliar|responder|comentar|falar|opinar|dar|tratar|dizer|oferecer|discutir|atender|fornecer|fazer isso)\b|\bn[aã]o (?:tenho permiss[aã]o|me [eé] permitido|estou autorizad[oa])\b|\bprefiro n[aã]o\b|\b(?:esta|sua) (?:pergunta|quest[aã]o|solicita[cç][aã]o)\b.{0,40}\b(?:n[aã]o (?:pode|ser[aá])|fora|ultrapassa|excede)|\bnenhuma resposta\b|\brecuso",
             # rules that forbid it
             r"\b(?:normas|reglas|pol[ií]ticas?|directrices|regras|diretrizes)\b.{0,20}\b(?:impiden|impide|proh[ií]ben|no (?:me )?permiten|n[aã]o (?:me )?(?:deixam|permitem)|impedem|pro[ií]bem)\b",
             r"\b(?:r[eè]gles|consignes|directives)\b.{0,20}\b(?:interdisent|emp[eê]chent|permettent pas)\b|\b(?:richtlinien|regeln|vorgaben)\b.{0,30}\b(?:verbieten|untersagen|erlauben|lassen)\b",
@@ -105,6 +112,8 @@ _FILLS = re.compile(
     r"|^[\W_]*(?:please |kindly )?(?:ask|consult|contact|see|try|speak to|talk to)\b.{0,50}\b(?:someone|somebody|professional|expert|specialist|adviser|advisor|agronomist|doctor|else)\b"
     r"|\b(?:consulte|consultez|contactez|adressez|wenden sie sich|fragen sie|pregunte|procure)\b.{0,60}$"
 )
+#: Words of doubt: a sentence with one of them does answer.
+_DOUBTS = re.compile(r"\b(?:for (?:certain|sure)|with (?:certainty|confidence)|definitively|com certeza|con (?:certeza|seguridad)|avec (?:certitude|assurance)|mit sicherheit|sicher sagen)\b|निश्चित|确定")
 #: Words after which the same sentence goes on to answer.
 _TURNS = re.compile(r"\b(?:but|yet|however|although|though|mais|cependant|pero|sin embargo|aber|jedoch|doch|trotzdem|mas|por[eé]m|no entanto|लेकिन|परंतु|但是|不过)\b[\s,:;]*(.*)$", re.S)
 _BLANK = re.compile(r"[\s​-‍﻿]+")
@@ -122,7 +131,7 @@ def refuses(answer: str) -> bool:
         sentence = _BLANK.sub(" ", sentence).strip()
         if not any(ch.isalnum() for ch in sentence):
             continue
-        if _REFUSES.search(sentence):
+        if _REFUSES.search(sentence) and not _DOUBTS.search(sentence):
             turn = _TURNS.search(sentence)
             if turn and len(words(turn.group(1))) >= 4 and _REFUSES.search(sentence[: turn.start()]) and not _REFUSES.search(turn.group(1)):
                 return False
@@ -194,10 +203,10 @@ def stops_in_question(question: list[str], answer: list[str]) -> bool:
 #: Frequent function words and forms by language.
 FUNCTION_WORDS = {
     "en": "the of and is are was in on to for with this that these what which how does do did has have been be can could should would will not only if by from at or an a it its my your before after where when why there then than more most least about because so first".split(),
-    "es": "el la los las un una de del y en es son está están hay que qué se su con por para como cómo cuál cuáles cuántas cuántos si no mi este esta estos estas al lo más pero muy aparece aparecen debo puede planta plantas hojas parece así sobre sin ya".split(),
-    "fr": "le la les un une des du de et en est sont il elle on que qui quoi quel quelle quels quelles se ce cet cette ces sur sous dans avec pour par pas plus ne au aux ou où y a t faut combien mon ma mes votre vous peut sans donc très peu mais comment pourquoi à".split(),
-    "de": "der die das den dem des ein eine einen einem einer und ist sind war in im an am auf aus bei mit nach von zu zum zur für wie viele was welche welcher welches wo warum wann wenn nicht nur noch sich es sie er ich wir man soll kann hier diese dieser dieses diesem diesen oder auch als so daher wohl gegen sehen".split(),
-    "pt": "o a os as um uma de do da dos das e em no na nos nas é são está estão há que se seu sua com por para como qual quais quantas quantos não mais mas muito esta este estas estes isso ao à planta plantas folhas parece ser então meu minha devo preciso só pelo pela você sobre sem já quando".split(),
+    "es": "el la los las un una de del y en es son está están hay que qué se su con por para como cómo cuál cuáles cuántas cuántos si no mi este esta estos estas al lo más pero muy debo puede así sobre sin ya antes después donde cuando también entre hasta desde".split(),
+    "fr": "le la les un une des du de et en est sont il elle on que qui quoi quel quelle quels quelles se ce cet cette ces sur sous dans avec pour par pas plus ne au aux ou où y a t faut combien mon ma mes votre vous peut sans donc très peu mais comment pourquoi à avant après aussi entre depuis".split(),
+    "de": "der die das den dem des ein eine einen einem einer und ist sind war in im an am auf aus bei mit nach von zu zum zur für wie viele was welche welcher welches wo warum wann wenn nicht nur noch sich es sie er ich wir man soll kann hier diese dieser dieses diesem diesen oder auch als so daher wohl gegen".split(),
+    "pt": "o a os as um uma de do da dos das e em no na nos nas é são está estão há que se seu sua com por para como qual quais quantas quantos não mais mas muito esta este estas estes isso ao à ser então meu minha devo preciso só pelo pela você sobre sem já quando antes depois onde também entre até desde".split(),
 }
 _OF: dict[str, list[str]] = {}
 for _lang, _list in FUNCTION_WORDS.items():
@@ -255,36 +264,55 @@ def question_of(text: str) -> tuple[list[str], tuple[str, float]]:
 
 _CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“", "）": "（", "」": "「", "】": "【"}
 _OPENS = frozenset(_CLOSES.values())
-_TOKENS = re.compile(r"```|</?[A-Za-z][\w-]*>|[()\[\]{}«»“”（）「」【】\"]")
+_TOKENS = re.compile(r"```|\*\*(?=\S)|(?<=\S)\*\*|(?<![\w`])`(?=\S)|(?<=\S)`(?!`)|</?[A-Za-z][\w-]*(?:\s[^<>]*)?/?>|(?<!\d)\"|\d\"|[()\[\]{}«»“”（）「」【】]")
 _ITEM = re.compile(r"\n[ \t]*[-*•][ \t]*$|(?:^|\n)[ \t]*\d+[.)] [^\n]+\n(?s:.*)\n?[ \t]*\d+[.)][ \t]*$")
+_NAME = re.compile(r"[A-Za-z][\w-]*")
+#: Tags without content, and tags whose end may be left out.
+_ENDLESS = frozenset("area base br col embed hr img input link meta param source track wbr p li dt dd option optgroup tr td th thead tbody tfoot colgroup caption rt rp".split())
 
 
 def left_open(answer: str) -> bool:
-    """Pushdown parser over fences, brackets, quotations and markup: true if something opened is never closed.
+    """Pushdown parser over fences, inline code, brackets, quotations, emphasis, markup and lists: true if something opened is never closed.
 
-    Whatever is closed without having been opened (a list's `1)`, an apostrophe) is ignored, and so is a closing mark that skips
-    inner ones. Inside a fence only the fence's end counts. A list that ends with an item's mark is open too.
+    Whatever is closed without having been opened (a list's `1)`, an apostrophe) is ignored. A bracket inside another one is still open when the
+    outer one is closed; quotations, emphasis and tags end with what they stand in. In a fence or inline code only its own end
+    counts; a double quote behind a digit ends a quotation or stands for inches; tags that need no end open nothing. A
+    list that ends with an item's mark is open too.
     """
     stack: list[str] = []
-    for m in _TOKENS.findall(answer):
-        if stack and stack[-1] == "```":
-            if m == "```":
+
+    def close(mark: str, keep: bool) -> bool:
+        """Take the last `mark` from the stack, and what was opened since, but for brackets if these are kept."""
+        if mark not in stack:
+            return False
+        at = len(stack) - 1 - stack[::-1].index(mark)
+        stack[at:] = [x for x in stack[at + 1 :] if keep and x in _OPENS]
+        return True
+
+    for found in _TOKENS.finditer(answer):
+        m, at = found[0], found.start()
+        if stack and stack[-1] in ("```", "`"):
+            if m == stack[-1]:
                 stack.pop()
+        elif m == "`":
+            # behind a letter it opens nothing
+            if not (at and answer[at - 1].isalnum()):
+                stack.append(m)
         elif m == "```" or m in _OPENS:
             stack.append(m)
-        elif m == '"':
-            if '"' in stack:
-                del stack[stack.index('"') :]
-            else:
+        elif m == "**" or m == '"':
+            if not close(m, False):
                 stack.append(m)
+        elif m[-1] == '"':
+            close('"', False)
         elif m in _CLOSES:
-            if _CLOSES[m] in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(_CLOSES[m]) :]
-        elif m.startswith("</"):
-            if "<" + m[2:] in stack:
-                del stack[len(stack) - 1 - stack[::-1].index("<" + m[2:]) :]
-        else:
-            stack.append(m)
+            close(_CLOSES[m], True)
+        elif not m.endswith("/>"):
+            name = _NAME.search(m)[0].lower()
+            if m.startswith("</"):
+                close("<" + name, False)
+            elif name not in _ENDLESS:
+                stack.append("<" + name)
     return bool(stack) or bool(_ITEM.search(answer))
 
 
@@ -297,7 +325,8 @@ DANGLING = frozenset(
     "os um uma do da dos das e porque com".split()
 )
 ORDERS = (5, 4, 3, 2)
-#: How often a context of each order must have been seen elsewhere to decide (a shorter one says less); below which share of them it is no end of a sentence.
+#: How often a context of each order must have been seen elsewhere for its share of ends to be known (a shorter one says less); below which share of them it is
+#: no end of a sentence. These are numbers of sightings, not parts of the corpus: how sure a share is does not depend on how much else is there.
 SEEN, ENDS = {5: 8, 4: 12, 3: 25, 2: 60}, 0.03
 #: The same for an answer with a full stop of its own, which is better evidence than rare words.
 SEEN_STOPPED, ENDS_STOPPED = 500, 0.002
@@ -354,7 +383,7 @@ DEFECTS = ("empty", "refusal", "copies_question", "other_language", "truncated")
 def inspect(question: str, answer: str | None) -> tuple[str | None, bool, list[str | None]]:
     """(defect or None, whether the answer has a full stop, its last contexts). Contexts are given only without a defect."""
     none: list[str | None] = [None] * len(ORDERS)
-    if says_nothing(answer):
+    if says_nothing(answer, question):
         return "empty", False, none
     items = stream(answer)
     said = [w for w in items if w[0] not in _STOP]
@@ -426,27 +455,55 @@ def distinct_answers(pairs: DataFrame) -> DataFrame:
     return pairs.where("answer IS NOT NULL").groupBy(F.unhex(pair).alias("_pair")).agg(F.min("answer").alias("answer")).select("answer")
 
 
-def context_counts(pairs: DataFrame) -> DataFrame:
-    """context, n, ends over the answers of distinct pairs, for every order. Tasks count before they shuffle, and shorter contexts are summed from the longest."""
-    longest = distinct_answers(pairs).mapInPandas(_count_contexts, "context string, n bigint, ends bigint").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+def context_counts(answers: DataFrame) -> DataFrame:
+    """context, n, ends over `answers`, for every order. Tasks count before they shuffle, and shorter contexts are summed from the longest."""
+    longest = answers.mapInPandas(_count_contexts, "context string, n bigint, ends bigint").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     shorter = [F.substring_index("context", " ", -n) for n in ORDERS]
     return longest.select(F.explode(F.array(*shorter)).alias("context"), "n", "ends").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
-def beginnings(counts: DataFrame) -> DataFrame:
-    """context, longer: for the contexts whose last word is the beginning of a longer word, how often such a word stood there."""
-    word = F.substring_index("context", " ", -1)
-    head = F.substring(F.col("context"), F.lit(1), F.length("context") - F.length(word))
+def _parts(context: str) -> tuple[Column, Column]:
+    """What stands before the last word of a context, and that word."""
+    word = F.substring_index(context, " ", -1)
+    return F.substring(F.col(context), F.lit(1), F.length(context) - F.length(word)), word
+
+
+def beginnings(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """context, longer: for contexts whose last word is the beginning of a longer word, how often such a word stood there. Only words behind the heads of wanted contexts are looked at."""
+    head, word = _parts("context")
+    heads = wanted.select(head.alias("_head")).distinct()
+    rows = counts.select(word.alias("_w"), head.alias("_head"), "n").where("length(_w) > 1").join(heads, "_head", "left_semi")
     starts = F.transform(F.sequence(F.lit(1), F.length("_w") - 1), lambda i: F.concat(F.col("_head"), F.substring(F.col("_w"), F.lit(1), i)))
-    rows = counts.where("n >= 3").select(word.alias("_w"), head.alias("_head"), "n").where("length(_w) > 1")
     return rows.select(F.explode(starts).alias("context"), "n").groupBy("context").agg(F.sum("n").alias("longer"))
 
 
+def broken_off(last: DataFrame, counts: DataFrame) -> DataFrame:
+    """`last` (stopped, c5 ... c2; distinct) of the answers that the corpus says break off, out of context_counts.
+
+    Each row gives its contexts with their order; these are joined once with what was counted, and gathered again.
+    """
+    rows = last.withColumn("_id", F.xxhash64("stopped", *[f"c{n}" for n in ORDERS]))
+    asked = rows.select("_id", "stopped", F.explode(F.array(*[F.struct(F.lit(n).alias("order"), F.col(f"c{n}").alias("context")) for n in ORDERS])).alias("x")).select("_id", "stopped", "x.order", "x.context").where("context IS NOT NULL")
+    wanted = asked.select("context").distinct()
+    seen = counts.select("context", "n", "ends", F.lit(0).cast("bigint").alias("longer"))
+    known = seen.unionByName(beginnings(counts, wanted).select("context", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("ends"), "longer")).join(wanted, "context", "left_semi")
+    known = known.groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("longer").alias("longer"))
+    told = asked.join(known, "context").withColumns({"n": F.col("n") - 1, "ends": F.col("ends") - 1})
+    enough = F.when(F.col("stopped"), F.col("n") >= SEEN_STOPPED)
+    for n in ORDERS:
+        enough = enough.when(F.col("order") == n, F.col("n") >= SEEN[n])
+    few = F.col("ends") < F.when(F.col("stopped"), ENDS_STOPPED).otherwise(ENDS) * F.col("n")
+    piece = (F.col("longer") >= PIECES) & (F.greatest(F.col("n"), F.lit(0)) <= PIECE_SHARE * F.col("longer"))
+    # the longest context seen often enough decides whether a sentence ends there
+    verdict = told.groupBy("_id").agg(F.max(F.when(enough, F.struct("order", few.alias("few")))).alias("decides"), F.bool_or(piece).alias("piece"))
+    return rows.join(verdict.where("coalesce(decides.few, false) OR piece").select("_id"), "_id", "left_semi").drop("_id")
+
+
 def defective_pairs(manifest: DataFrame) -> DataFrame:
     """(sample_id, defect) of the records whose question and answer don't form a usable pair, one defect each (the first of DEFECTS).
 
     A null, blank or meaningless answer is `empty`; a null question copies nothing and has no language. An answer is
-    `truncated` if it leaves a bracket, quotation, fence or tag open, dangles, or if the corpus says so of its last words: they
+    `truncated` if it leaves a bracket, quotation, fence, emphasis or tag open, dangles, or if the corpus says so of its last words: they
     are seen elsewhere and sentences don't end with them, or the last one is the beginning of longer words seen there.
     Elsewhere means in other pairs: copies of one question and answer are one of them, and take their verdict together.
     """
@@ -455,23 +512,7 @@ def defective_pairs(manifest: DataFrame) -> DataFrame:
     told = found.where("defect IS NOT NULL").select("sample_id", "defect")
     open_ = found.where("defect IS NULL")
     last = open_.select("stopped", *[f"c{n}" for n in ORDERS]).distinct()
-    counts = cut_lineage(context_counts(pairs))
-    longer = beginnings(counts)
-    rows = last
-    for n in ORDERS:
-        seen = counts.select(F.col("context").alias(f"c{n}"), (F.col("n") - 1).alias(f"n{n}"), (F.col("ends") - 1).alias(f"e{n}"))
-        rows = rows.join(seen, f"c{n}", "left")
-        rows = rows.join(longer.select(F.col("context").alias(f"c{n}"), F.col("longer").alias(f"l{n}")), f"c{n}", "left")
-    share = F.when(F.col("stopped"), ENDS_STOPPED).otherwise(ENDS)
-    ends_not: Column | None = None
-    for n in ORDERS:
-        enough, few = F.coalesce(F.col(f"n{n}") >= F.when(F.col("stopped"), SEEN_STOPPED).otherwise(SEEN[n]), F.lit(False)), F.col(f"e{n}") < share * F.col(f"n{n}")
-        ends_not = F.when(enough, few) if ends_not is None else ends_not.when(enough, few)
-    pieces = [F.coalesce((F.col(f"l{n}") >= PIECES) & (F.coalesce(F.col(f"n{n}"), F.lit(0)) <= PIECE_SHARE * F.col(f"l{n}")), F.lit(False)) for n in ORDERS]
-    piece = pieces[0]
-    for x in pieces[1:]:
-        piece = piece | x
-    broken = rows.where(F.coalesce(ends_not, F.lit(False)) | piece).select("stopped", *[f"c{n}" for n in ORDERS])
+    broken = broken_off(last, cut_lineage(context_counts(distinct_answers(pairs))))
     keys = [F.col("a.stopped") == F.col("b.stopped"), *[F.col(f"a.c{n}").eqNullSafe(F.col(f"b.c{n}")) for n in ORDERS]]
     condition = keys[0]
     for k in keys[1:]:

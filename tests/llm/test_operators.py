@@ -124,6 +124,35 @@ def test_refusals_of_any_length_and_spelling(answer):
     assert pairs.inspect(Q, answer)[0] == "refusal"
 
 
+LEFT_OPEN = ["He said **stop here", "Use `code ", "(a {b) done.", "[1] see (fig. 2", "<b>Spray early", "- prune\n- ", "```\nspray", "Er sagte „ja“ und «nein", '"It is rust, he said', "<ul><li>prune</li>"]
+CLOSED = ["Spray early.<br>Repeat weekly.", "<p>Paragraph one. All is fine.", 'Use a 5" pot and water daily.', "He said **stop** here.", "Use `code` here.", "1) prune 2) mulch", "(a {b}) done.", "<ul><li>prune<li>mulch</ul>", "<img src='a.png'/> fine", 'The "5" is fine.', "It`s fine", "```\n(a\n``` done", "2 ** 3 is 8"]
+
+
+@pytest.mark.parametrize(("answer", "is_open"), [(x, True) for x in LEFT_OPEN] + [(x, False) for x in CLOSED])
+def test_pushdown_parser(answer, is_open):
+    assert pairs.left_open(answer) == is_open
+
+
+@pytest.mark.parametrize(
+    ("question", "answer", "defect"),
+    [
+        ("How many aphids are on this leaf?", "None.", None), ("How many aphids are on this leaf?", "Nil.", None), ("Are there any aphids?", "none", None), ("¿Cuántas plagas hay?", "None", None), ("What is this?", "None.", "empty"), ("What is this?", "none given", "empty"),
+        ("O que é isso?", "Não posso afirmar com certeza, parece ferrugem.", None), ("O que é isso?", "Não posso responder a isso.", "refusal"), (Q, "We do not discuss this.", "refusal"), (Q, "That falls outside what I can do here.", "refusal"),
+        (Q, "I cannot say for certain, it looks like rust.", None), (Q, "We do not see any spots on this leaf.", None),
+    ],
+)
+def test_numbers_doubt_and_denials(question, answer, defect):
+    assert pairs.inspect(question, answer)[0] == defect
+
+
+def test_a_table_delivered_under_other_ids_changes_nothing(spark):
+    whole = "The spots on the lower leaves point to early blight, so remove the worst leaves and check again after {} days."
+    rows = [record(i, answer=whole.format(i)) for i in range(40)] + [record(100, answer="The spots on the lower leaves point to early blight, so rem"), record(101, answer="The spots on the lower leaves point"), record(102, answer="early blight")]
+    twice = rows + [{**r, "sample_id": "t" + r["sample_id"]} for r in rows]
+    got = {(r.sample_id, r.defect) for r in pairs.defective_pairs(frame(spark, "manifest", twice)).collect()}
+    assert got == {(p + s, "truncated") for p in ("", "t") for s in ("s100", "s101")}
+
+
 @pytest.mark.parametrize("answer", ["N/A" + " " * 80, "None" + "." * 80, " " * 80 + "n/a"])
 def test_padded_words_for_nothing(answer):
     assert pairs.inspect(Q, answer)[0] == "empty"
