@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincart.operators import reports
-from graincart.plans import build, evaluate, normalize
+from graincart.plans import build, evaluate, normalize, runs
 from graincart.session import build_session
 from graincart.sources import files, paths
 
@@ -24,21 +24,29 @@ def _write(rows: DataFrame, path: str) -> int:
     return rows.count()
 
 
+def _scope(a: argparse.Namespace) -> tuple[str, str]:
+    """Subset tag and data root of a command; what isn't given is the registry's default."""
+    settings = paths.runtime_settings(files.load_yaml(a.config).get("defaults") or {}, ".", a.mode, a.fraction, root=a.data_root)
+    a.mode, a.fraction = settings["download_mode"], settings["sample_fraction"]
+    return settings["subset_tag"], settings["data_root"]
+
+
 def _manifests(spark: SparkSession, given: list[str]) -> tuple[list[DataFrame], list[str]]:
     found = [p for p in given if os.path.exists(p)]
     return [files.read_manifest(spark, p) for p in found], [p for p in given if p not in found]
 
 
 def run_normalize(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str, Any], int]:
-    """Every data set of the registry: raw records to a manifest. Missing raw data is a status, anything else an error."""
-    specs, tag, root = paths.load_registry(a.config), paths.subset_tag(a.mode, a.fraction), paths.data_root(".", a.data_root)
+    """Every data set of the registry: raw records to a manifest. Missing raw data is a status, anything else, a missing picture too, an error."""
+    specs, (tag, root) = paths.load_registry(a.config), _scope(a)
     out: dict[str, Any] = {}
     for name in a.datasets or list(specs):
         spec = specs[name]
         where = {"data_root": root, "subset_tag": tag, "dataset_name": name}
         raw, target = paths.render(spec.raw_dir, **where), paths.render(spec.interim_path, **where)
         record_file = files.find_records_file(raw) if os.path.isdir(raw) else None
-        options = {"license_name": spec.license_name, "provenance": files.provenance(raw) if os.path.isdir(raw) else {}}
+        prefix = paths.relative_posix(raw, ".") + "/"
+        options = {"prefix": prefix, "license_name": spec.license_name, "provenance": files.provenance(raw) if os.path.isdir(raw) else {}}
         if os.path.exists(os.path.join(raw, "train.txt")):
             rows = normalize.split_lists(files.read_split_lists(spark, raw), files.read_class_list(spark, raw), name, **options)
         elif record_file:
@@ -46,10 +54,11 @@ def run_normalize(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str,
             rows = normalize.normalize(rows, name, spec.normalizer, spec.default_task_type, **options)
         elif files.has_raw_data(raw):
             pictures = files.scan_images(spark, raw).select(F.expr(f"substring(path, instr(path, '{raw}') + {len(raw) + 1})").alias("path"))
-            rows = normalize.classification_directory(pictures.withColumn("index", F.monotonically_increasing_id()), name, f"{name}-v1", pest=spec.normalizer == "ip102", **options)
+            rows = normalize.classification_directory(files.with_index(pictures), name, f"{name}-v1", pest=spec.normalizer == "ip102", **options)
         else:
             out[name] = {"status": "missing_raw", "reason": raw}
             continue
+        files.require_images(rows, os.getcwd())
         out[name] = {"status": "normalized", "rows": _write(rows, target), "path": target}
     return {"subset_tag": tag, "download_mode": a.mode, "sample_fraction": a.fraction, "summary": out}, 0
 
@@ -83,10 +92,8 @@ def run_build_train_eval(spark: SparkSession, a: argparse.Namespace) -> tuple[di
 def run_validate_images(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str, Any], int]:
     rows = files.read_manifest(spark, a.manifest, checked=False)
     root = os.path.abspath(a.root)
-    at = F.concat(F.lit(root + "/"), "image")
-    wanted = reports.unique_images(rows).select("image", at.alias("full"))
-    found = files.check_image_headers(spark, root).select(F.regexp_replace("path", "^file:/+", "/").alias("full"), F.coalesce("error", F.lit("")).alias("found"))
-    checked = wanted.join(found, "full", "left").select("image", F.when(F.col("found").isNull(), "missing file").otherwise(F.nullif(F.col("found"), F.lit(""))).alias("error"))
+    wanted = reports.unique_images(rows).select("image", F.concat(F.lit(root + "/"), "image").alias("full"))
+    checked = wanted.join(files.file_errors(wanted, "full").withColumnRenamed("path", "full"), "full").select("image", "error")
     marked = reports.image_errors(rows, checked)
     if a.valid_output and a.invalid_output:
         files.write_valid_and_invalid(marked, a.valid_output, a.invalid_output)
@@ -96,7 +103,8 @@ def run_validate_images(spark: SparkSession, a: argparse.Namespace) -> tuple[dic
 
 
 def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str, Any], int]:
-    """Tasks given as name=manifest, with predictions read from JSONL in mode model."""
+    """Tasks given as name=manifest, with predictions read from JSONL in mode model. The run leaves what it was given and where its outputs are."""
+    artifacts = runs.prepare_run("evaluate", a.output, {k: v for k, v in vars(a).items() if k != "run"})
     given = spark.read.json(a.predictions) if a.predictions else None
     tasks = []
     for entry in a.tasks:
@@ -110,6 +118,7 @@ def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str,
         tasks.append({"task": name, "manifest_path": path, "metrics_path": os.path.join(target, "metrics.json"), "predictions_path": os.path.join(target, "predictions"), "num_predictions": rows.count(), "metrics": values})
     summary = {"created_at_utc": datetime.datetime.now(datetime.timezone.utc).isoformat(), "hostname": socket.gethostname(), "prediction_mode": a.mode, "checkpoint_path": a.checkpoint, "tasks": tasks}
     files.write_json(os.path.join(a.output, "summary.json"), summary)
+    runs.write_run_manifest(artifacts, {"tasks": [t["task"] for t in tasks]})
     return summary, 0
 
 
@@ -157,9 +166,13 @@ SMOKE = {
 }
 
 
+#: A grey picture of one pixel.
+SMOKE_PICTURE = bytes.fromhex("89504e470d0a1a0a0000000d49484452000000010000000108000000003a7e9b550000000a49444154789c63680000008200817746a4ef0000000049454e44ae426082")
+
+
 def run_prepare_slots(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str, Any], int]:
     """A folder with a note for every data set that has no raw data yet, or with made-up records."""
-    specs, tag, root = paths.load_registry(a.config), paths.subset_tag(a.mode, a.fraction), paths.data_root(".", a.data_root)
+    specs, (tag, root) = paths.load_registry(a.config), _scope(a)
     out = {}
     for name, spec in specs.items():
         raw = paths.render(spec.raw_dir, data_root=root, subset_tag=tag, dataset_name=name)
@@ -168,8 +181,11 @@ def run_prepare_slots(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[
         elif a.with_smoke_data:
             records = SMOKE.get(spec.normalizer, SMOKE["classification_records"])
             files.write_sidecar(raw, {"dataset_name": name, "subset_tag": tag, "download_mode": a.mode, "sample_fraction": a.fraction, "source_type": "smoke", "materialized": True, "manual_required": False, "saved_rows": len(records)})
-            with open(os.path.join(raw, "records.jsonl"), "w", encoding="utf-8") as f:
-                f.writelines(json.dumps(r) + "\n" for r in records)
+            files.first_of_stream(records, None, os.path.join(raw, "records.jsonl"))
+            for picture in {p for r in records for p in [r.get("image"), *r.get("images", [])] if p}:
+                os.makedirs(os.path.dirname(os.path.join(raw, picture)), exist_ok=True)
+                with open(os.path.join(raw, picture), "wb") as f:
+                    f.write(SMOKE_PICTURE)
             out[name] = "smoke"
         else:
             files.manual_slot(raw, name, "its raw files are not here yet")
@@ -180,7 +196,7 @@ def run_prepare_slots(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[
 def run_benchmark_status(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str, Any], int]:
     """Benchmarks of a YAML file: ready if implemented and no required path is missing."""
     data = files.load_yaml(a.config)
-    tag, root = paths.subset_tag(a.mode, a.fraction), paths.data_root(".", a.data_root)
+    tag, root = _scope(a)
     rows = [
         (b["name"], b.get("implementation_status", "planned"), (at := paths.render(p["path"], data_root=root, subset_tag=tag)), bool(p.get("required", True)), os.path.exists(at))
         for b in data.get("benchmarks") or [] for p in b.get("readiness_paths") or [{"path": root, "required": False}]
@@ -193,7 +209,7 @@ def run_benchmark_status(spark: SparkSession, a: argparse.Namespace) -> tuple[di
 
 
 def run_dataset_report(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str, Any], int]:
-    specs, tag, root = paths.load_registry(a.config), paths.subset_tag(a.mode, a.fraction), paths.data_root(".", a.data_root)
+    specs, (tag, root) = paths.load_registry(a.config), _scope(a)
     counts, downloads = [], []
     for name, spec in specs.items():
         where = {"data_root": root, "subset_tag": tag, "dataset_name": name}
@@ -220,7 +236,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(flag, **options)
 
     need, many, whole = {"required": True}, {"nargs": "+", "required": True}, {"type": int}
-    scope = (("--mode", {"default": "partial"}), ("--fraction", {"type": float, "default": 0.1}), ("--data-root", {}))
+    scope = (("--mode", {}), ("--fraction", {"type": float}), ("--data-root", {}))
     add("normalize", run_normalize, ("--config", need), ("--datasets", {"nargs": "*"}), *scope)
     add("build-sft", run_build_sft, ("--sources", many), ("--output", need), ("--max-per-source", whole))
     add("build-rl", run_build_rl, ("--sources", many), ("--output", need), ("--max-words", {**whole, "default": build.RL_MOST_WORDS}), ("--max-images", {**whole, "default": build.RL_MOST_IMAGES}))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graincart.functions.hashing import hash_split
 from graincart.functions.text import (
+    DEFAULT_QUESTIONS,
     SECTIONS,
     SYSTEM_PROMPT,
     UNCERTAINTY_LINE,
@@ -40,6 +41,10 @@ FALSY = ("null", '""', "[]", "{}", "0", "0.0", "false")
 CONSULTATION_WEIGHTS = {"normalized_label": 1.0, "structured_format": 0.5, "uncertainty_calibration": 0.5, "management_coverage": 0.5, "hallucination_penalty": 1.0}
 CLASSIFICATION_WEIGHTS = {"normalized_label": 1.0, "hallucination_penalty": 1.0}
 PEST_QUESTION = "Identify the insect or pest shown in this agricultural image."
+#: What staged question-answer records ask, and say where no part of the answer is stated; the question of pictures in folders.
+STAGED_QUESTION = "Provide an expert agricultural diagnosis and management plan for the issue shown."
+STAGED_DIAGNOSIS = "See source-authored answer."
+FOLDER_QUESTION = DEFAULT_QUESTIONS["classification"]
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -139,6 +144,11 @@ def _sample_id(dataset: str) -> Column:
     return F.concat(F.lit(f"{dataset}-"), F.coalesce(text_of(pick("id")), F.col("index").cast("string")))
 
 
+def located(images: Column, prefix: str) -> Column:
+    """Paths from the data set as paths from the repository; absolute ones stay."""
+    return F.transform(images, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(prefix), p))) if prefix else images
+
+
 def _picture_id() -> Column:
     return F.coalesce(text_of(pick("image")), text_of(pick("id")), F.col("index").cast("string"))
 
@@ -151,13 +161,13 @@ def _error(*checks: tuple[str, Column]) -> Column:
     return result
 
 
-def classification(rows: DataFrame, dataset: str, pest: bool = False, license_name: str | None = None, provenance: Mapping[str, Any] = {}, strict: bool = True) -> DataFrame:
+def classification(rows: DataFrame, dataset: str, pest: bool = False, prefix: str = "", license_name: str | None = None, provenance: Mapping[str, Any] = {}, strict: bool = True) -> DataFrame:
     """Records with a label or several. The label is `label` or `category`, else the most common of the list; the canonical label is the list's first."""
     form: Callable[[Column], Column] = parse_pest_label if pest else normalize_label
     listed = F.filter(list_of(F.col("_list")), lambda x: normalize_edges(x) != "")
     own = F.nullif(normalize_edges(text_of(F.col("_own"))), F.lit(""))
     rows = _kept(parsed(rows), _list=pick("all_labels", "labels", "categories"), _own=pick("label", "category"), _shown=pick("images", "image_paths", "image", "img"))
-    rows = _kept(rows, _listed=listed, _images=list_of(F.col("_shown")))
+    rows = _kept(rows, _listed=listed, _images=located(list_of(F.col("_shown")), prefix))
     rows = _kept(rows, _label=F.coalesce(own, mode_of_array(F.col("_listed"))))
     rows = _kept(rows, _candidates=F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(F.array("_label")), _plant=parse_plant_label("_label"))
     rows = _kept(rows, _labels=F.transform("_candidates", lambda x: form(x)))
@@ -177,14 +187,14 @@ def classification(rows: DataFrame, dataset: str, pest: bool = False, license_na
     )
 
 
-def vqa(rows: DataFrame, dataset: str, default_task: str = "vqa", license_name: str | None = None, provenance: Mapping[str, Any] = {}, strict: bool = True) -> DataFrame:
+def vqa(rows: DataFrame, dataset: str, default_task: str = "vqa", prefix: str = "", license_name: str | None = None, provenance: Mapping[str, Any] = {}, strict: bool = True) -> DataFrame:
     """Questions with answers. A list of answers counts with its first; a clarify task is verified by its decision, any other by exact match."""
     raw = F.col("_answer")
     rows = _kept(
         parsed(rows), _answer=pick("answer", "response", "label"), _asked=pick("question", "query", "instruction"), _kind=pick("task_type"), _said=pick("decision", "expected_decision"),
         _shown=pick("images", "image_paths", "image", "img"),
     )
-    rows = _kept(rows, _answer=F.when(raw.startswith("["), F.get(list_of(raw), F.lit(0))).otherwise(text_of(raw)), _asked=text_of(F.col("_asked")), _kind=F.coalesce(text_of(F.col("_kind")), F.lit(default_task)), _images=list_of(F.col("_shown")))
+    rows = _kept(rows, _answer=F.when(raw.startswith("["), F.get(list_of(raw), F.lit(0))).otherwise(text_of(raw)), _asked=text_of(F.col("_asked")), _kind=F.coalesce(text_of(F.col("_kind")), F.lit(default_task)), _images=located(list_of(F.col("_shown")), prefix))
     rows = _kept(rows, _decision=F.when(F.col("_kind") == "clarify_or_respond", normalize_decision(text_of(F.col("_said")))))
     answer, question, task, decision, images = (F.col(c) for c in ("_answer", "_asked", "_kind", "_decision", "_images"))
     clarify = task == "clarify_or_respond"
@@ -201,12 +211,12 @@ def vqa(rows: DataFrame, dataset: str, default_task: str = "vqa", license_name:
     )
 
 
-def consultation(rows: DataFrame, dataset: str, license_name: str | None = None, provenance: Mapping[str, Any] = {}, strict: bool = True) -> DataFrame:
+def consultation(rows: DataFrame, dataset: str, prefix: str = "", license_name: str | None = None, provenance: Mapping[str, Any] = {}, strict: bool = True) -> DataFrame:
     """Diagnoses with steps; without an answer text one of five sections is written."""
     rows = _kept(
         parsed(rows), _diagnosis=pick("diagnosis", "answer", "label"), _steps=pick("management_steps", "management"), _unsure=pick("uncertainty"), _shown=pick("images", "image_paths", "image", "img")
     )
-    rows = _kept(rows, _diagnosis=F.nullif(normalize_edges(text_of(F.col("_diagnosis"))), F.lit("")), _steps=list_of(F.col("_steps")), _images=list_of(F.col("_shown")))
+    rows = _kept(rows, _diagnosis=F.nullif(normalize_edges(text_of(F.col("_diagnosis"))), F.lit("")), _steps=list_of(F.col("_steps")), _images=located(list_of(F.col("_shown")), prefix))
     diagnosis, steps, images = (F.col(c) for c in ("_diagnosis", "_steps", "_images"))
     uncertainty = F.coalesce(text_of(F.col("_unsure")), F.lit(UNCERTAINTY_LINE))
     answer = F.coalesce(text_of(pick("answer_text")), structured_answer(diagnosis, steps, uncertainty))
@@ -253,20 +263,22 @@ def classification_directory(paths: DataFrame, dataset: str, salt: str, prefix:
         template_origin=F.lit("templated_from_label"), source_image_id=F.col("path"),
     )
     split = F.coalesce(detect_split_from_path(full), hash_split(F.col("path"), salt))
-    return _labelled_images(paths, dataset, split, full, [label, normalize_label(name)], meta, "Identify the crop issue or pest in this agricultural image.")
+    return _labelled_images(paths, dataset, split, full, [label, normalize_label(name)], meta, FOLDER_QUESTION)
 
 
-def split_lists(lines: DataFrame, classes: DataFrame | None, dataset: str, prefix: str = "", license_name: str | None = None, provenance: Mapping[str, Any] = {}) -> DataFrame:
-    """Lines of split lists (split, path, label_id, ord), labelled by the class list, else by their folder.
+def with_labels(rows: DataFrame, classes: DataFrame, key: str = "label_id") -> DataFrame:
+    """`rows` with `label` from a class list (`key`, label); null where the list has none. A class list has one row a class and is broadcast if it is small."""
+    return rows.join(hinted(classes), key, "left")
 
-    A class list has one row a class and is broadcast if it is small.
-    """
+
+def split_lists(lines: DataFrame, classes: DataFrame | None, dataset: str, prefix: str = "", license_name: str | None = None, provenance: Mapping[str, Any] = {}) -> DataFrame:
+    """Lines of split lists (split, path, label_id, ord), labelled by the class list, else by their folder."""
     folder = F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(-2)), F.lit(""))
     rows = lines.withColumn("index", F.col("ord"))
     if classes is None:
         rows = rows.withColumn("label", F.lit(None).cast("string"))
     else:
-        rows = rows.join(hinted(classes), "label_id", "left")
+        rows = with_labels(rows, classes)
     label = F.when(F.col("label").isNotNull(), parse_pest_label("label")).otherwise(parse_pest_label(folder))
     meta = _metadata(
         provenance, license_name, pest=label, label_id=F.col("label_id"), original_label=F.coalesce(F.nullif(folder, F.lit("")), F.col("label_id")), normalized_label=label, source_image_id=F.col("path")
@@ -279,7 +291,7 @@ def missing_files(rows: DataFrame, listing: DataFrame) -> DataFrame:
     return rows.select("sample_id", F.explode("images").alias("image")).join(listing.select(F.col("path").alias("image")), "image", "left_anti")
 
 
-def agmmu_records(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+def question_answer_records(rows: DataFrame, existing: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
     """Question-answer JSON (`payload`, `index`) to consultation records: (records with `payload`, one row with `skipped` rows without an image).
 
     Images that `existing` (path) lacks are dropped; the diagnosis is the issue, else the species, symptom or management.
@@ -293,11 +305,11 @@ def agmmu_records(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, Data
         return normalize_edges(F.coalesce(F.get_json_object("payload", f"$['finetuning qa']['{topic}'].a"), F.lit("")))
 
     species, issue, symptom, management = (answer(t) for t in ("species", "disease/issue identification", "symptom description", "management instructions"))
-    diagnosis = F.coalesce(*[F.nullif(x, F.lit("")) for x in (issue, species, symptom, management)], F.lit("See source-authored answer."))
+    diagnosis = F.coalesce(*[F.nullif(x, F.lit("")) for x in (issue, species, symptom, management)], F.lit(STAGED_DIAGNOSIS))
     lines = F.concat_ws("\n", *[F.when(x != "", F.concat(F.lit(f"{head}: "), x)) for head, x in (("Species", species), ("Diagnosis", issue), ("Symptoms", symptom), ("Management", management))])
     record = F.to_json(F.struct(
-        F.concat(F.lit("agbase-"), F.coalesce(text_of(pick("faq-id")), F.col("index").cast("string"))).alias("id"), F.col("images"), F.get("images", F.lit(0)).alias("image"),
-        F.lit("Provide an expert agricultural diagnosis and management plan for the issue shown.").alias("question"), diagnosis.alias("diagnosis"),
+        F.concat(F.lit(f"{dataset}-"), F.coalesce(text_of(pick("faq-id")), F.col("index").cast("string"))).alias("id"), F.col("images"), F.get("images", F.lit(0)).alias("image"),
+        F.lit(STAGED_QUESTION).alias("question"), diagnosis.alias("diagnosis"),
         F.when(management != "", F.array(management)).otherwise(F.array().cast("array<string>")).alias("management_steps"), F.when(lines != "", lines).otherwise(diagnosis).alias("answer_text"),
         F.lit("train").alias("split"), F.nullif(species, F.lit("")).alias("crop"), F.lit("source_authored").alias("template_origin"),
     ))
@@ -305,12 +317,12 @@ def agmmu_records(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, Data
     return joined.where(has).select("index", record.alias("payload")), joined.agg(F.count_if(~has).alias("skipped"))
 
 
-def conversation_records(rows: DataFrame, dataset: str = "agrillava", folder: str = "Img/") -> DataFrame:
+def conversation_records(rows: DataFrame, dataset: str, folder: str = "") -> DataFrame:
     """Conversations (`payload`, `index`) to consultation records: the first two turns are question and answer; too few or empty ones are an error."""
     source = parsed(rows)
     turn = [normalize_edges(F.coalesce(F.get_json_object("payload", f"$.conversations[{i}].value"), F.lit(""))) for i in (0, 1)]
     image = F.coalesce(F.try_element_at(F.split(text_of(pick("image")), "/"), F.lit(-1)), F.lit(""))
-    bad = F.when(image == "", "row is missing an image").when((turn[0] == "") | (turn[1] == ""), "row is missing question or answer text")
+    bad = F.when(image == "", "talk without a picture").when((turn[0] == "") | (turn[1] == ""), "talk with a missing question or answer")
     record = F.to_json(F.struct(
         F.concat(F.lit(f"{dataset}-"), F.lpad(F.col("index").cast("string"), 6, "0")).alias("id"), F.concat(F.lit(folder), image).alias("image"), turn[0].alias("question"), turn[1].alias("diagnosis"),
         turn[1].alias("answer_text"), F.array().cast("array<string>").alias("management_steps"), F.lit("train").alias("split"), F.lit("source_authored").alias("template_origin"),

@@ -6,8 +6,11 @@ the caller, who gives the rows.
 
 from __future__ import annotations
 
+import io
 import os
 import re
+import shutil
+import subprocess
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterable
@@ -46,11 +49,16 @@ def image_columns(names: Iterable[str]) -> list[str]:
     return [n for n in names if re.fullmatch(r"image|png|jpe?g|image_\d+", n.lower())]
 
 
-def decode_label(value: Column, names: list[str]) -> Column:
-    """A class id as its name; anything else stays. Null without a name of that number."""
-    table = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+def decode_label(value: Column, names: list[str], deep: int = 2) -> Column:
+    """A class id as its name; anything else stays. Null without a name of that number. The elements of a JSON list are decoded each, `deep` lists down."""
+    if not names:
+        return value
     number = value.try_cast("int")
-    return F.when(number.isNull(), value).otherwise(F.get(table, number)) if names else value
+    one = F.when(number.isNull(), value).otherwise(F.get(F.array(*[F.lit(n) for n in names]), number))
+    if not deep:
+        return one
+    many = F.to_json(F.transform(F.from_json(value, "array<string>"), lambda x: decode_label(x, names, deep - 1)), {"ignoreNullFields": "false"})
+    return F.when(value.startswith("["), many).otherwise(one)
 
 
 def _record(rows: DataFrame, error: Column, **fields: Column) -> DataFrame:
@@ -72,7 +80,7 @@ def single_label_records(rows: DataFrame, split: str, names: list[str]) -> DataF
     rows = parsed(rows).withColumn("_label", decode_label(text_of(F.to_json(F.try_variant_get("_v", "$.label", "variant"))), names))
     plant = parse_plant_label("_label")
     return _record(
-        rows, F.when(F.col("_label").isNull(), "row is missing a label"), id=_numbered(split), image=_picture(split), label=F.col("_label"), split=canonical_split(F.lit(split)), crop=plant["crop"], disease=plant["disease"],
+        rows, F.when(F.col("_label").isNull(), "picture without a label"), id=_numbered(split), image=_picture(split), label=F.col("_label"), split=canonical_split(F.lit(split)), crop=plant["crop"], disease=plant["disease"],
         template_origin=F.lit("source_authored"),
     )
 
@@ -83,7 +91,7 @@ def multi_label_records(rows: DataFrame, split: str, names: list[str]) -> DataFr
     ids = list_of(F.to_json(F.try_variant_get("_v", "$.objects.category", "variant")))
     rows = rows.withColumn("_labels", F.filter(F.transform(ids, lambda x: decode_label(x, names)), lambda x: F.coalesce(normalize_edges(x), F.lit("")) != ""))
     return _record(
-        rows, F.when(F.size("_labels") == 0, "row is missing object categories"), id=F.coalesce(text_of(pick("image_id")), _numbered(split)), image=_picture(split), label=mode_of_array(F.col("_labels")),
+        rows, F.when(F.size("_labels") == 0, "picture with missing object categories"), id=F.coalesce(text_of(pick("image_id")), _numbered(split)), image=_picture(split), label=mode_of_array(F.col("_labels")),
         all_labels=F.col("_labels"), split=canonical_split(F.lit(split)), template_origin=F.lit("source_authored"),
     )
 
@@ -96,7 +104,7 @@ def vqa_source_records(rows: DataFrame, split: str, default_task: str | None = N
     """Questions and answers of any source; `images` is the number of picture columns."""
     rows = parsed(rows).withColumn("_q", normalize_edges(text_of(first_non_empty(*QUESTIONS)))).withColumn("_a", normalize_edges(text_of(first_non_empty(*ANSWERS))))
     pictures = _pictures(images, split)
-    error = F.when(F.lit(images == 0), "row is missing image content").when(F.col("_q") == "", "row is missing a usable question").when(F.col("_a") == "", "row is missing a usable answer")
+    error = F.when(F.lit(images == 0), "record without pictures").when(F.col("_q") == "", "record without a question").when(F.col("_a") == "", "record without an answer")
     extra = {k: text_of(pick(k)) for k in ("crop", "disease", "pest", "question_type", "options")}
     return _record(
         rows, error, id=F.coalesce(text_of(pick("id", "question_id")), _numbered(split)), images=pictures, image=F.get(pictures, F.lit(0)), question=F.col("_q"), answer=F.col("_a"),
@@ -109,7 +117,7 @@ def benchmark_records(rows: DataFrame, config: str, split: str, images: int = 1)
     rows = parsed(rows).withColumn("_q", normalize_edges(text_of(first_non_empty(*TRACK_QUESTIONS)))).withColumn("_a", normalize_edges(text_of(first_non_empty(*TRACK_ANSWERS))))
     rows = rows.withColumn("_d", normalize_decision(text_of(pick("decision"))))
     pictures = _pictures(images, split, f"{config}/")
-    error = F.when(F.lit(images == 0), "row is missing images").when((F.col("_q") == "") | (F.col("_a") == ""), "row is missing question or answer")
+    error = F.when(F.lit(images == 0), "turn without pictures").when((F.col("_q") == "") | (F.col("_a") == ""), "turn without question or answer")
     return _record(
         rows, error, id=F.coalesce(text_of(pick("id")), _numbered(config)), images=pictures, image=F.get(pictures, F.lit(0)), question=F.col("_q"), answer=F.col("_a"), split=canonical_split(F.lit(split)),
         task_type=F.when(F.col("_d").isNotNull(), "clarify_or_respond").otherwise("consultation"), decision=F.col("_d"), management_keywords=list_of(first_non_empty(*GOALS)),
@@ -117,7 +125,7 @@ def benchmark_records(rows: DataFrame, config: str, split: str, images: int = 1)
     )
 
 
-def archive_records(table: DataFrame, members: DataFrame, mode: str, fraction: float, default_task: str = "vqa") -> DataFrame:
+def archive_records(table: DataFrame, members: DataFrame, mode: str, fraction: float, default_task: str = "vqa", dataset: str = "archive") -> DataFrame:
     """Rows of an archive's table (`ord`, split, image_path, image_id, question, answer, question_type) with their pictures among its `members` (member).
 
     The first part of each split is taken, by `fraction` unless the mode is full. A picture is found by the lower case of
@@ -136,10 +144,10 @@ def archive_records(table: DataFrame, members: DataFrame, mode: str, fraction: f
     first = rows.groupBy("split", "_key").agg(F.min_by("_name", "ord").alias("_stored"))
     rows = rows.join(first, ["split", "_key"], "left").withColumn("index", F.col("ord"))
     question, answer = normalize_edges("question"), normalize_edges("answer")
-    error = F.when(F.col("_name") == "", "row is missing an image path").when(F.col("member").isNull(), F.concat(F.lit("image not found in archive: "), "_name")).when((question == "") | (answer == ""), "row is missing question or answer text")
+    error = F.when(F.col("_name") == "", "no path of a picture").when(F.col("member").isNull(), F.concat(F.lit("no such picture in the archive: "), "_name")).when((question == "") | (answer == ""), "no question or no answer")
     path = F.concat(F.lit("images/"), "split", F.lit("/"), "_stored")
     return _record(
-        rows, error, id=F.concat(F.coalesce(F.nullif(F.col("image_id"), F.lit("")), F.lit("plantvillage_vqa")), F.lit("-"), F.lpad(F.col("index").cast("string"), 6, "0")), images=F.array(path), image=path,
+        rows, error, id=F.concat(F.coalesce(F.nullif(F.col("image_id"), F.lit("")), F.lit(dataset)), F.lit("-"), F.lpad(F.col("index").cast("string"), 6, "0")), images=F.array(path), image=path,
         question=question, answer=answer, split=F.col("split"), task_type=F.lit(default_task), question_type=F.col("question_type"), template_origin=F.lit("source_authored"),
     )
 
@@ -149,6 +157,54 @@ def archive_members(path: str) -> list[str]:
         return archive.namelist()
 
 
+def extract_pictures(archive: str, records: DataFrame, root: str) -> int:
+    """Unpack the pictures of `records` (rows of archive_records) below `root`, each path once, and give their number.
+
+    A picture is the archive's last member with its base name, whatever the case. An archive is one file that one process unpacks.
+    """
+    with zipfile.ZipFile(archive) as z:
+        members = {os.path.basename(name).lower(): name for name in z.namelist()}
+        n = 0
+        for row in records.select(F.explode(list_of(F.get_json_object("payload", "$.images"))).alias("image")).distinct().toLocalIterator():
+            target = os.path.join(root, row.image)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with z.open(members[os.path.basename(row.image).lower()]) as source, open(target, "wb") as f:
+                shutil.copyfileobj(source, f)
+            n += 1
+    return n
+
+
+def split_sizes(rows: DataFrame, split: str = "split") -> DataFrame:
+    """split, n: rows by the canonical name of their split, train where there is none."""
+    return rows.groupBy(canonical_split(F.coalesce(F.nullif(split, F.lit("")), F.lit("train"))).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_records(records: DataFrame, root: str) -> int:
+    """Write the objects of `payload` as the data set's record file `records.jsonl`, a folder of parts, and give their number."""
+    rows = records.select(F.col("payload").alias("value"))
+    rows.write.mode("overwrite").text(os.path.join(root, "records.jsonl"))
+    return records.count()
+
+
+#: Materialisers by the kind of source that a data set's entry names. A new kind is added here.
+MATERIALIZERS: dict[str, Callable[..., DataFrame]] = {
+    "single_label": single_label_records,
+    "multi_label": multi_label_records,
+    "questions": vqa_source_records,
+    "benchmark": benchmark_records,
+    "archive": archive_records,
+}
+
+
+def materialize(kind: str, parts: Iterable[tuple[DataFrame, dict[str, Any]]], root: str) -> dict[str, Any]:
+    """Record file of a data set from the rows of each of its splits or configurations, by the materialiser of its kind; an unknown kind is a KeyError."""
+    made = [MATERIALIZERS[kind](rows, **options) for rows, options in parts]
+    whole = made[0]
+    for more in made[1:]:
+        whole = whole.unionByName(more)
+    return {"saved_rows": write_records(whole, root), "parts": len(made)}
+
+
 def rewrite_split_lists(lines: DataFrame, prefix: str) -> DataFrame:
     """Lines of split lists (path, label_id) whose bare file names get a folder."""
     return lines.withColumn("path", F.when(F.instr("path", "/") == 0, F.concat(F.lit(prefix), "path")).otherwise(F.col("path")))
@@ -178,13 +234,62 @@ def extract_once(archive: str, folder: str, marker: str) -> bool:
     return True
 
 
+class JoinedParts(io.RawIOBase):
+    """The parts of a file that was cut, read one after the other as one stream."""
+
+    def __init__(self, paths: Iterable[str]) -> None:
+        self.paths = iter(paths)
+        self.part: io.BufferedReader | None = None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while True:
+            if self.part is None:
+                path = next(self.paths, None)
+                if path is None:
+                    return 0
+                self.part = open(path, "rb")
+            if n := self.part.readinto(into):
+                return n
+            self.part.close()
+            self.part = None
+
+
+def extract_parts_once(parts: Iterable[str], folder: str, marker: str) -> bool:
+    """Unpack a tar file that was cut into parts, in the order of their names, without joining them on disk."""
+    done = os.path.join(folder, marker)
+    if os.path.exists(done):
+        return False
+    os.makedirs(folder, exist_ok=True)
+    with tarfile.open(fileobj=io.BufferedReader(JoinedParts(sorted(parts))), mode="r|*") as t:
+        t.extractall(folder, filter="data")
+    open(done, "w").close()
+    return True
+
+
+def extract_rar_once(archive: str, folder: str, marker: str) -> bool:
+    """Unpack a rar file by the first program on the path that can."""
+    done = os.path.join(folder, marker)
+    if os.path.exists(done):
+        return False
+    for program, arguments in (("unrar", ["x", "-o+", archive, folder + os.sep]), ("bsdtar", ["-xf", archive, "-C", folder]), ("7z", ["x", "-y", f"-o{folder}", archive])):
+        if shutil.which(program):
+            os.makedirs(folder, exist_ok=True)
+            subprocess.run([program, *arguments], check=True, capture_output=True)
+            open(done, "w").close()
+            return True
+    raise RuntimeError(f"no program here unpacks {archive}")
+
+
 def acquire(specs: dict[str, DatasetSpec], materialize: Callable[[DatasetSpec], dict[str, Any]], root_of: Callable[[DatasetSpec], str], dry_run: bool = False) -> dict[str, dict[str, Any]]:
     """Status of each data set: downloaded, dry_run or manual_required. A source that fails becomes a manual slot and never ends the loop."""
     out: dict[str, dict[str, Any]] = {}
     for name, spec in specs.items():
         root = root_of(spec)
         if spec.source_type == "manual":
-            manual_slot(root, name, "No adapter is configured for this data set.")
+            manual_slot(root, name, "it has no source to download from")
             out[name] = {"status": "manual_required", "raw_dir": root}
         elif dry_run:
             out[name] = {"status": "dry_run", "raw_dir": root}
@@ -194,6 +299,6 @@ def acquire(specs: dict[str, DatasetSpec], materialize: Callable[[DatasetSpec],
                 write_sidecar(root, {"dataset_name": name, "source_type": spec.source_type, "access": spec.access, "materialized": True, "manual_required": False, **made})
                 out[name] = {"status": "downloaded", "raw_dir": root, **made}
             except Exception as problem:  # noqa: BLE001
-                manual_slot(root, name, f"Automatic download failed: {problem}")
+                manual_slot(root, name, f"its download failed: {problem}")
                 out[name] = {"status": "manual_required", "raw_dir": root, "reason": str(problem)}
     return out

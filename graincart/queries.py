@@ -232,8 +232,8 @@ def first_n_per_source(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256('shuffle::' || doc_id::VARCHAR) AS order_key FROM documents ORDER BY 2, 1 LIMIT 50")
 def hash_shuffle_topk(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "documents").select("doc_id", stable_hex(F.col("doc_id"), "shuffle").alias("order_key"))
-    return rows.orderBy("order_key", "doc_id").limit(50)
+    rows = S.hash_shuffled(read(spark, folder, "documents").select("doc_id"), "shuffle", "doc_id").limit(50)
+    return rows.select("doc_id", stable_hex(F.col("doc_id"), "shuffle").alias("order_key"))
 
 
 _SAMPLE, _FLOOR = 150, 5
@@ -278,23 +278,6 @@ def mode_first_seen(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- merges, filters, joins
 
-_SOURCES = ("plantdoc", "ip102", "plantvillage_vqa")
-
-
-def _sources(manifest: DataFrame, names=_SOURCES) -> list[DataFrame]:
-    return [manifest.where(F.col("source_dataset") == n) for n in names]
-
-
-def _merged_sql(columns: str, tasks, most: int | None = None) -> str:
-    parts = " UNION ALL ".join(f"SELECT {i} AS source_ord, {columns} FROM manifest WHERE source_dataset = '{n}' AND task_type IN {_in(tasks)} AND coalesce(split, '') <> 'test'" for i, n in enumerate(_SOURCES))
-    return parts if most is None else f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY source_ord ORDER BY ord) AS k FROM ({parts})) WHERE k <= {most}"
-
-
-@query(_merged_sql("ord, sample_id", B.SFT_TASKS, 200).replace("* EXCLUDE (k)", "source_ord, ord, sample_id"))
-def merge_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return B.build_sft(_sources(read(spark, folder, "manifest")), most=200).select("source_ord", "ord", "sample_id")
-
-
 _NAMED = f"named AS (SELECT * REPLACE (lower({_ws('source_dataset')}) AS source_dataset) FROM manifest)"
 
 
@@ -303,6 +286,7 @@ def _registered_sql(flag: str) -> str:
 
 
 def _named(manifest: DataFrame) -> DataFrame:
+    """`manifest` under the canonical names of its sources, which compare trimmed and in lower case."""
     return manifest.withColumn("source_dataset", X.name_key("source_dataset"))
 
 
@@ -311,113 +295,76 @@ def _registered(spark: SparkSession, folder: str, flag: str) -> list[str]:
     return [r.name for r in read(spark, folder, "dataset_registry").where(flag).select(X.name_key("source_dataset").alias("name")).collect()]
 
 
+def _sources(manifest: DataFrame, names: list[str]) -> list[DataFrame]:
+    return [manifest.where(F.col("source_dataset") == n) for n in names]
+
+
 @query(
     f"WITH {_registered_sql('include_in_sft')} SELECT source_ord::INTEGER AS source_ord, ord, sample_id FROM named JOIN sources USING (source_dataset) "
     f"WHERE task_type IN {_in(B.SFT_TASKS)} AND coalesce(split, '') <> 'test'"
 )
-def merge_filter_all_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole merge: every source of the registry, however its name is written, and no cap."""
+def merge_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The merge of every source that the registry has for it, however its name is written, without a cap."""
     sources = _sources(_named(read(spark, folder, "manifest")), _registered(spark, folder, "include_in_sft"))
     return B.build_sft(sources).select("source_ord", "ord", "sample_id")
 
 
-@query(
-    f"WITH m AS ({_merged_sql('ord, images, target, verifier', B.RL_TASKS)}) SELECT source_ord, ord FROM m WHERE verifier.mode IN {_in(B.RL_MODES)} AND len(coalesce(images, [])) <= 1 "
-    f"AND {_words("coalesce(nullif(target.answer_text, ''), target.canonical_label)")} <= 80"
-)
-def rewardable_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return B.build_rl(_sources(read(spark, folder, "manifest"))).select("source_ord", "ord")
-
-
 @query(
     f"WITH {_registered_sql('include_in_rl')} SELECT source_ord::INTEGER AS source_ord, ord FROM named JOIN sources USING (source_dataset) WHERE task_type IN {_in(B.RL_TASKS)} AND coalesce(split, '') <> 'test' "
     f"AND verifier.mode IN {_in(B.RL_MODES)} AND len(coalesce(images, [])) <= 1 AND {_words("coalesce(nullif(target.answer_text, ''), target.canonical_label)")} <= 80"
 )
-def rewardable_filter_all_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole build: every source of the registry that it is for, however its name is written."""
+def rewardable_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The build from every source that the registry has for it, however its name is written."""
     sources = _sources(_named(read(spark, folder, "manifest")), _registered(spark, folder, "include_in_rl"))
     return B.build_rl(sources).select("source_ord", "ord")
 
 
-_HELD = f"SELECT * REPLACE ('holdout' AS split) FROM manifest WHERE source_dataset IN {_in(_SOURCES)} AND coalesce(split, '') <> 'test' AND {_fraction(_group_key(), 'eval')} < 0.1::DOUBLE"
-_POOL = f"""held AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord DESC) AS k FROM ({_HELD}) WHERE len(images) <= 1),
-more AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord) AS k FROM manifest WHERE split IN ('validation', 'dev') AND len(images) <= 1 AND sample_id NOT IN (SELECT sample_id FROM held)),
-pool AS (SELECT * FROM held WHERE k = 1 UNION ALL SELECT * FROM more WHERE k = 1)"""
-_REASON = f"""marked AS (SELECT ord, source_dataset, CASE WHEN len(coalesce(images, [])) > 1 THEN 'max_images' WHEN split <> 'train' THEN 'split'
-WHEN sample_id IN (SELECT sample_id FROM pool) OR {_group_key()} IN (SELECT {_group_key()} FROM pool) THEN 'eval_overlap' END AS reason FROM manifest)"""
-
-
-def _held(manifest: DataFrame, names=_SOURCES) -> DataFrame:
-    rows = manifest.where(F.col("source_dataset").isin(*names))
-    return S.holdout(M.with_group(rows), F.col("group_key"), "eval", 0.1).drop("group_key")
-
-
-def _pool(manifest: DataFrame) -> DataFrame:
-    return M.eval_pool(_held(manifest), manifest, ("validation", "dev"), 1)
-
-
-@query(f"SELECT ord, sample_id FROM ({_HELD})")
-def holdout_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return _held(read(spark, folder, "manifest")).select("ord", "sample_id")
-
-
-@query(f"WITH {_POOL} SELECT sample_id, ord, split FROM pool")
-def eval_pool(spark: SparkSession, folder: str) -> DataFrame:
-    return _pool(read(spark, folder, "manifest")).select("sample_id", "ord", "split")
-
-
-@query(f"WITH {_POOL}, {_REASON} SELECT ord, reason FROM marked")
-def leak_safe_train(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "manifest")
-    return M.train_rows(rows, _pool(rows), ("train",), 1).select("ord", "reason")
-
-
-@query(f"WITH {_POOL}, {_REASON} SELECT source_dataset, coalesce(reason, 'train') AS reason, count(*) AS n FROM marked GROUP BY ALL")
-def rejection_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "manifest")
-    marked = M.train_rows(rows, _pool(rows), ("train",), 1)
-    return marked.groupBy("source_dataset", F.coalesce("reason", F.lit("train")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 #: The sources of the local holdout; a benchmark has tracks of its own.
 _HOLDS = "include_in_eval AND task_family <> 'eval'"
 _WHOLE = f"WITH {_NAMED}, sources AS (SELECT lower({_ws('source_dataset')}) AS source_dataset FROM dataset_registry WHERE {_HOLDS})"
-_HELD_WHOLE = _HELD.replace("FROM manifest", "FROM named").replace(f"IN {_in(_SOURCES)}", "IN (SELECT source_dataset FROM sources)")
-_POOL_WHOLE = _POOL.replace(_HELD, _HELD_WHOLE).replace("FROM manifest", "FROM named")
-_REASON_WHOLE = _REASON.replace("FROM manifest", "FROM named")
+_HELD = f"SELECT * REPLACE ('holdout' AS split) FROM named WHERE source_dataset IN (SELECT source_dataset FROM sources) AND coalesce(split, '') <> 'test' AND {_fraction(_group_key(), 'eval')} < 0.1::DOUBLE"
+_POOL = f"""held AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord DESC) AS k FROM ({_HELD}) WHERE len(images) <= 1),
+more AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord) AS k FROM named WHERE split IN ('validation', 'dev') AND len(images) <= 1 AND sample_id NOT IN (SELECT sample_id FROM held)),
+pool AS (SELECT * FROM held WHERE k = 1 UNION ALL SELECT * FROM more WHERE k = 1)"""
+_REASON = f"""marked AS (SELECT ord, source_dataset, CASE WHEN len(coalesce(images, [])) > 1 THEN 'max_images' WHEN split <> 'train' THEN 'split'
+WHEN sample_id IN (SELECT sample_id FROM pool) OR {_group_key()} IN (SELECT {_group_key()} FROM pool) THEN 'eval_overlap' END AS reason FROM named)"""
 
 
 def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The manifest under the canonical names of its sources, which pictures are grouped and hashed by, and its holdout."""
     rows = _named(read(spark, folder, "manifest"))
-    return rows, _held(rows, _registered(spark, folder, _HOLDS))
+    held = M.with_group(rows.where(F.col("source_dataset").isin(*_registered(spark, folder, _HOLDS))))
+    return rows, S.holdout(held, F.col("group_key"), "eval", 0.1).drop("group_key")
 
 
-def _marked_whole(spark: SparkSession, folder: str) -> DataFrame:
+def _pool(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows, held = _whole(spark, folder)
-    return M.train_rows(rows, M.eval_pool(held, rows, ("validation", "dev"), 1), ("train",), 1)
+    return rows, M.eval_pool(held, rows, ("validation", "dev"), 1)
+
 
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    rows, pool = _pool(spark, folder)
+    return M.train_rows(rows, pool, ("train",), 1)
 
-@query(f"{_WHOLE} SELECT ord, sample_id FROM ({_HELD_WHOLE})")
-def holdout_rows_all_names(spark: SparkSession, folder: str) -> DataFrame:
+
+@query(f"{_WHOLE} SELECT ord, sample_id FROM ({_HELD})")
+def holdout_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _whole(spark, folder)[1].select("ord", "sample_id")
 
 
-@query(f"{_WHOLE}, {_POOL_WHOLE} SELECT sample_id, ord, split FROM pool")
-def eval_pool_all_names(spark: SparkSession, folder: str) -> DataFrame:
-    rows, held = _whole(spark, folder)
-    return M.eval_pool(held, rows, ("validation", "dev"), 1).select("sample_id", "ord", "split")
+@query(f"{_WHOLE}, {_POOL} SELECT sample_id, ord, split FROM pool")
+def eval_pool(spark: SparkSession, folder: str) -> DataFrame:
+    return _pool(spark, folder)[1].select("sample_id", "ord", "split")
 
 
-@query(f"{_WHOLE}, {_POOL_WHOLE}, {_REASON_WHOLE} SELECT ord, reason FROM marked")
-def leak_safe_train_all_names(spark: SparkSession, folder: str) -> DataFrame:
-    return _marked_whole(spark, folder).select("ord", "reason")
+@query(f"{_WHOLE}, {_POOL}, {_REASON} SELECT ord, reason FROM marked")
+def leak_safe_train(spark: SparkSession, folder: str) -> DataFrame:
+    return _marked(spark, folder).select("ord", "reason")
 
 
-@query(f"{_WHOLE}, {_POOL_WHOLE}, {_REASON_WHOLE} SELECT source_dataset, coalesce(reason, 'train') AS reason, count(*) AS n FROM marked GROUP BY ALL")
-def rejection_counts_all_names(spark: SparkSession, folder: str) -> DataFrame:
-    marked = _marked_whole(spark, folder)
-    return marked.groupBy("source_dataset", F.coalesce("reason", F.lit("train")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+@query(f"{_WHOLE}, {_POOL}, {_REASON} SELECT source_dataset, coalesce(reason, 'train') AS reason, count(*) AS n FROM marked GROUP BY ALL")
+def rejection_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _marked(spark, folder).groupBy("source_dataset", F.coalesce("reason", F.lit("train")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -429,16 +376,17 @@ def overlap_check(spark: SparkSession, folder: str) -> DataFrame:
     return M.overlap_counts(rows.where("split = 'train'"), rows.where("split IN ('validation', 'dev', 'holdout')"))
 
 
-@query("SELECT ord, CASE WHEN contains(lower(coalesce(json_extract_string(metadata, '$.benchmark_track'), '')), 'mmmt') OR task_type = 'clarify_or_respond' THEN 'mmmt' ELSE 'mmst' END AS track FROM manifest WHERE source_dataset = 'mirage'")
+@query("SELECT ord, CASE WHEN contains(lower(coalesce(json_extract_string(metadata, '$.benchmark_track'), '')), 'mmmt') OR task_type = 'clarify_or_respond' THEN 'mmmt' ELSE 'mmst' END AS track FROM manifest WHERE " + f"lower({_ws('source_dataset')}) = 'mirage'")
 def route_tracks(spark: SparkSession, folder: str) -> DataFrame:
-    return M.route_tracks(read(spark, folder, "manifest").where("source_dataset = 'mirage'")).select("ord", "track")
+    return M.route_tracks(_named(read(spark, folder, "manifest")).where("source_dataset = 'mirage'")).select("ord", "track")
 
 
 @query("SELECT s_suppkey, coalesce(n_name, 'unlisted') AS label FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 4) ON s_nationkey = n_nationkey")
 def class_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """A lookup of class names with a default."""
     classes = read(spark, folder, "nation").where("n_regionkey < 4").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return read(spark, folder, "supplier").join(classes, "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.lit("unlisted")).alias("label"))
+    labelled = N.with_labels(read(spark, folder, "supplier"), classes.withColumnRenamed("n_name", "label"), "s_nationkey")
+    return labelled.select("s_suppkey", F.coalesce("label", F.lit("unlisted")).alias("label"))
 
 
 _STRUCTURED = "CASE WHEN regexp_replace(coalesce(target.structured, ''), '\\s', '', 'g') NOT IN ('', '{}', 'null') THEN target.structured END"
@@ -459,10 +407,11 @@ def target_texts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def chat_render(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "manifest")
-    full, prompt = M.training_messages(rows), F.filter("messages", lambda m: m["role"] != "assistant")
-    text = F.array_join(F.transform(F.filter(F.flatten(F.transform(prompt, lambda m: m["content"])), lambda p: p["text"].isNotNull()), lambda p: p["text"]), "|")
+    asked = M.prompt_messages(rows)
+    text = F.array_join(F.transform(F.filter(F.flatten(F.transform("messages", lambda m: m["content"])), lambda p: p["text"].isNotNull()), lambda p: p["text"]), "|")
+    prompts = asked.select("ord", F.size("messages").alias("prompt_turns"), text.alias("prompt_text"))
     last = F.element_at("messages", -1)
-    return full.select("ord", F.size("messages").alias("turns"), last["content"][0]["text"].alias("last_text"), F.size(prompt).alias("prompt_turns"), text.alias("prompt_text"))
+    return M.training_messages(rows).select("ord", F.size("messages").alias("turns"), last["content"][0]["text"].alias("last_text")).join(prompts, "ord")
 
 
 @query(
@@ -529,37 +478,12 @@ def invalid_rows(spark: SparkSession, folder: str) -> DataFrame:
     return marked.select("ord", F.explode("errors").alias("e")).groupBy("ord", F.col("e.error").alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_HEADS = {"jpeg": "FFD8FFE000104A46", "png": "89504E470D0A1A0A0000", "bmp": "424D36000C00", "webp": "524946462400000057454250", "riff": "524946462400000057415645", "pdf": "255044462D312E37", "gif": "474946383961"}
-
-
-@query(
-    "WITH h AS (SELECT image_path, CASE width % 7 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS.values())) + " END AS h FROM image_index) SELECT image_path, "
-    "CASE WHEN h IS NULL THEN 'missing file' WHEN starts_with(h, 'FFD8FF') OR starts_with(h, '89504E470D0A1A0A') OR starts_with(h, '424D') OR (starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250') THEN NULL "
-    "WHEN starts_with(h, '25504446') THEN 'unsupported image signature: PDF document' ELSE 'unsupported image signature: ' || lower(substr(h, 1, 16)) END AS error FROM h"
-)
-def image_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """The index has no bytes, so each picture gets a header by its width."""
-    head = F.expr("CASE width % 7 " + " ".join(f"WHEN {i} THEN X'{h}'" for i, h in enumerate(_HEADS.values())) + " END")
-    return read(spark, folder, "image_index").select("image_path", P.header_error(head).alias("error"))
-
-
-@query(
-    "WITH n AS (SELECT source_dataset, count(*) AS rows FROM manifest WHERE split = 'train' AND task_type = 'vqa' GROUP BY ALL), d AS (SELECT source_dataset, bool_and(json_valid(payload)) AS manual FROM raw_records GROUP BY ALL) "
-    "SELECT source_dataset, task_family, coalesce(rows, 0) AS normalized_rows, CASE WHEN rows IS NOT NULL THEN 'normalized' WHEN manual THEN 'manual_required' WHEN manual IS NOT NULL THEN 'downloaded_only' ELSE 'missing' END AS status "
-    "FROM dataset_registry LEFT JOIN n USING (source_dataset) LEFT JOIN d USING (source_dataset)"
-)
-def dataset_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "manifest").where("split = 'train' AND task_type = 'vqa'").groupBy("source_dataset").agg(F.count(F.lit(1)).alias("rows"))
-    downloads = read(spark, folder, "raw_records").groupBy("source_dataset").agg(F.bool_and(F.try_parse_json("payload").isNotNull()).alias("manual_required"))
-    return P.dataset_report(read(spark, folder, "dataset_registry"), rows, downloads)
-
-
 @query(
     f"WITH n AS (SELECT lower({_ws('source_dataset')}) AS name, count(*) AS rows FROM manifest GROUP BY ALL), d AS (SELECT lower({_ws('source_dataset')}) AS name, bool_and(coalesce(json_valid(payload), false)) AS manual FROM raw_records GROUP BY ALL) "
     "SELECT source_dataset, task_family, coalesce(rows, 0) AS normalized_rows, CASE WHEN rows IS NOT NULL THEN 'normalized' WHEN manual THEN 'manual_required' WHEN manual IS NOT NULL THEN 'downloaded_only' ELSE 'missing' END AS status "
     f"FROM (SELECT *, lower({_ws('source_dataset')}) AS name FROM dataset_registry) LEFT JOIN n USING (name) LEFT JOIN d USING (name)"
 )
-def dataset_report_all_rows(spark: SparkSession, folder: str) -> DataFrame:
+def dataset_report(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of the manifest counts, whatever its split, its task and the spelling of its source."""
     name = X.name_key("source_dataset").alias("source_dataset")
     rows = read(spark, folder, "manifest").groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
@@ -567,18 +491,6 @@ def dataset_report_all_rows(spark: SparkSession, folder: str) -> DataFrame:
     return P.dataset_report(_named(read(spark, folder, "dataset_registry")), rows, downloads)
 
 
-_PATHS = "SELECT task_family AS name, CASE task_family WHEN 'eval' THEN 'planned' ELSE 'implemented' END AS implementation_status, source_dataset AS path, include_in_eval AS required, rows IS NOT NULL AS found FROM dataset_registry LEFT JOIN (SELECT source_dataset, count(*) AS rows FROM manifest WHERE split = 'dev' GROUP BY ALL) USING (source_dataset)"
-
-
-@query(
-    f"WITH p AS ({_PATHS}) SELECT name, implementation_status, CASE WHEN implementation_status <> 'implemented' THEN 'planned_or_blocked' WHEN count(*) FILTER (WHERE required AND NOT found) = 0 THEN 'ready' ELSE 'missing_data' END AS readiness_status, "
-    "count(*) FILTER (WHERE required AND NOT found) AS missing, coalesce(string_agg(DISTINCT path, '<br>' ORDER BY path) FILTER (WHERE required AND NOT found), '') AS missing_paths FROM p GROUP BY name, implementation_status"
-)
-def readiness_status(spark: SparkSession, folder: str) -> DataFrame:
-    there = read(spark, folder, "manifest").where("split = 'dev'").select("source_dataset").distinct().withColumn("_there", F.lit(True))
-    return _readiness(read(spark, folder, "dataset_registry").join(there, "source_dataset", "left"))
-
-
 def _readiness(registry: DataFrame) -> DataFrame:
     paths = registry.select(
         F.col("task_family").alias("name"), F.when(F.col("task_family") == "eval", "planned").otherwise("implemented").alias("implementation_status"), F.col("source_dataset").alias("path"),
@@ -587,11 +499,14 @@ def _readiness(registry: DataFrame) -> DataFrame:
     return P.readiness(paths)
 
 
-_PATHS_WHOLE = f"SELECT task_family AS name, CASE task_family WHEN 'eval' THEN 'planned' ELSE 'implemented' END AS implementation_status, lower({_ws('source_dataset')}) AS path, include_in_eval AS required, lower({_ws('source_dataset')}) IN (SELECT lower({_ws('source_dataset')}) FROM manifest) AS found FROM dataset_registry"
+_PATHS = f"SELECT task_family AS name, CASE task_family WHEN 'eval' THEN 'planned' ELSE 'implemented' END AS implementation_status, lower({_ws('source_dataset')}) AS path, include_in_eval AS required, lower({_ws('source_dataset')}) IN (SELECT lower({_ws('source_dataset')}) FROM manifest) AS found FROM dataset_registry"
 
 
-@query(ORACLE["readiness_status"].replace(_PATHS, _PATHS_WHOLE))
-def readiness_status_all_rows(spark: SparkSession, folder: str) -> DataFrame:
+@query(
+    f"WITH p AS ({_PATHS}) SELECT name, implementation_status, CASE WHEN implementation_status <> 'implemented' THEN 'planned_or_blocked' WHEN count(*) FILTER (WHERE required AND NOT found) = 0 THEN 'ready' ELSE 'missing_data' END AS readiness_status, "
+    "count(*) FILTER (WHERE required AND NOT found) AS missing, coalesce(string_agg(DISTINCT path, '<br>' ORDER BY path) FILTER (WHERE required AND NOT found), '') AS missing_paths FROM p GROUP BY name, implementation_status"
+)
+def readiness_status(spark: SparkSession, folder: str) -> DataFrame:
     """A data set with any row in the manifest is there."""
     there = _named(read(spark, folder, "manifest")).select("source_dataset").distinct().withColumn("_there", F.lit(True))
     return _readiness(_named(read(spark, folder, "dataset_registry")).join(there, "source_dataset", "left"))
@@ -611,11 +526,6 @@ def numeric_keys(spark: SparkSession, folder: str) -> DataFrame:
     return P.numeric_keys(read(spark, folder, "events"), "props")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def json_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 def _bad_part(p: str) -> str:
     return f"coalesce({p}.type, '') NOT IN ('text', 'image') OR ({p}.type = 'text' AND coalesce({p}.text, '') = '') OR ({p}.type = 'image' AND coalesce({p}.image, '') = '')"
 

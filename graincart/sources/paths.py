@@ -16,7 +16,7 @@ DATA_ROOT = "GRAINCART_DATA_ROOT"
 def download_mode(value: str | None) -> str:
     mode = (value or "partial").strip().lower()
     if mode not in ("partial", "full"):
-        raise ValueError(f"Unsupported download_mode: {value}")
+        raise ValueError(f"a download is partial or full, not {value}")
     return mode
 
 
@@ -38,6 +38,19 @@ def data_root(repo_root: str, explicit: str | None = None) -> str:
     return os.path.abspath(os.path.expanduser(explicit or os.environ.get(DATA_ROOT) or os.path.join(repo_root, "data")))
 
 
+def prefix_limit(total: int | None, mode: str | None, fraction: float) -> int | None:
+    """How many of a split's first rows a download takes: at least one; None (all of them) in full mode or where the total isn't known."""
+    if download_mode(mode) == "full" or total is None:
+        return None
+    return max(1, int(total * sample_fraction(fraction)))
+
+
+def runtime_settings(defaults: dict[str, Any], repo_root: str, mode: str | None = None, fraction: float | None = None, tag: str | None = None, root: str | None = None) -> dict[str, Any]:
+    """download_mode, sample_fraction, subset_tag and data_root of a run. What isn't given, or is empty or 0, is the registry's default."""
+    mode, fraction = mode or defaults.get("download_mode", "partial"), fraction or defaults.get("sample_fraction", 0.1)
+    return {"download_mode": mode, "sample_fraction": fraction, "subset_tag": tag or subset_tag(mode, fraction), "data_root": data_root(repo_root, root)}
+
+
 def render(template: str, **context: Any) -> str:
     return os.path.abspath(os.path.expanduser(str(template).format(**context)))
 

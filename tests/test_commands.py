@@ -26,11 +26,18 @@ def test_from_raw_records_to_results(spark, tmp_path, capsys):
         folder = data / "raw" / name / "partial_10pct"
         folder.mkdir(parents=True)
         (folder / "records.jsonl").write_text("\n".join(json.dumps(r) for r in records) + "\n\n")
+        for r in records:
+            (folder / r["image"]).write_bytes(b"\xff\xd8\xff")
     config = tmp_path / "registry.yaml"
     files.write_yaml(str(config), {"datasets": [{"name": "plantdoc", "normalizer": "classification_records"}, {"name": "talks", "normalizer": "vqa_records"}, {"name": "gone", "normalizer": "vqa_records"}]})
     out, code = run(spark, capsys, "normalize", "--config", config, "--data-root", data)
     assert code == 0 and {k: v.get("rows", v["status"]) for k, v in out["summary"].items()} == {"plantdoc": 6, "talks": 4, "gone": "missing_raw"}
     interim = [out["summary"][n]["path"] for n in ("plantdoc", "talks")]
+    shown = files.read_manifest(spark, interim[0]).first().images[0]
+    assert os.path.exists(shown) and not os.path.isabs(shown)
+    (data / "raw" / "talks" / "partial_10pct" / "t1.jpg").unlink()
+    with pytest.raises(FileNotFoundError, match="t1.jpg"):
+        cli.main(["normalize", "--config", str(config), "--data-root", str(data), "--datasets", "talks"], spark)
     report, _ = run(spark, capsys, "dataset-report", "--config", config, "--data-root", data, "--output", tmp_path / "r.md")
     assert {k: (v["status"], v["normalized_rows"]) for k, v in report["datasets"].items()} == {"plantdoc": ("normalized", 6), "talks": ("normalized", 4), "gone": ("missing", 0)}
     sft, _ = run(spark, capsys, "build-sft", "--sources", *interim, tmp_path / "none", "--output", tmp_path / "sft")
@@ -42,6 +49,9 @@ def test_from_raw_records_to_results(spark, tmp_path, capsys):
     assert both["overlap"] == {"exact_sample_id": 0, "group_key": 0} and spark.read.json(str(tmp_path / "train")).count() == both["train_rows"]
     result, _ = run(spark, capsys, "evaluate", "--tasks", f"local_holdout={tmp_path / 'held'}", "--output", tmp_path / "run")
     assert result["tasks"][0]["metrics"]["label_accuracy"] == 1.0
+    with open(tmp_path / "run" / "artifact_manifest.json", encoding="utf-8") as f:
+        listed = json.load(f)
+    assert listed["tasks"] == ["local_holdout"] and files.load_yaml(listed["resolved_config"])["settings"]["mode"] == "oracle"
     assert run(spark, capsys, "export-tables", "--runs", f"m={tmp_path / 'run'}", "--output", tmp_path / "tables")[0] == {"rows": 1}
     assert "| m | local_holdout |" in (tmp_path / "tables" / "results.md").read_text()
 
@@ -89,7 +99,7 @@ def test_archive(spark, tmp_path):
     full = payloads(stage.archive_records(table, members, "full", 1.0))
     assert len(full) == 8 and full[0]["image"] == "images/train/P0.JPG" and full[1]["split"] == "validation" and full[1]["id"] == "i1-000001"
     assert len(payloads(stage.archive_records(table, members, "partial", 0.5))) == 4
-    with pytest.raises(Exception, match="image not found in archive"):
+    with pytest.raises(Exception, match="no such picture in the archive"):
         stage.archive_records(table, members.limit(2), "full", 1.0).collect()
     import zipfile
 

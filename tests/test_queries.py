@@ -8,6 +8,7 @@ import sys
 import duckdb
 import pytest
 
+import graincart.file_queries  # noqa: F401
 from graincart import queries as core
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -57,7 +58,7 @@ def test_merge_takes_every_source_without_a_cap(spark, tmp_path):
     rows = [(i, f"s{i}", name, "vqa", "train") for i, name in enumerate(["plantdoc"] * 201 + [" PlantDoc ", "agrillava", "mirage", "elsewhere"])]
     spark.createDataFrame(rows, "ord bigint, sample_id string, source_dataset string, task_type string, split string").write.parquet(f"{tmp_path}/manifest.parquet")
     spark.createDataFrame([("plantdoc", True), ("mirage", False), ("agrillava", True)], "source_dataset string, include_in_sft boolean").coalesce(1).write.parquet(f"{tmp_path}/dataset_registry.parquet")
-    got = sorted((r.source_ord, r.ord) for r in core.QUERIES["merge_filter_all_sources"](spark, str(tmp_path)).collect())
+    got = sorted((r.source_ord, r.ord) for r in core.QUERIES["merge_filter"](spark, str(tmp_path)).collect())
     assert got == [(0, i) for i in range(202)] + [(1, 202)]
 
 
@@ -72,12 +73,12 @@ def test_builds_and_holdout_take_every_source_and_spelling(spark, tmp_path):
     def run(name):
         return core.QUERIES[name](spark, str(tmp_path)).collect()
 
-    assert sorted((r.source_ord, r.ord) for r in run("rewardable_filter_all_sources")) == [(0, 100), *((1, i) for i in range(100)), (2, 102)]
-    held = {r.ord for r in run("holdout_rows_all_names")}
+    assert sorted((r.source_ord, r.ord) for r in run("rewardable_filter")) == [(0, 100), *((1, i) for i in range(100)), (2, 102)]
+    held = {r.ord for r in run("holdout_rows")}
     assert held and max(held) < 100 and {i ^ 1 for i in held} == held
-    assert {r.ord for r in run("eval_pool_all_names")} == held
-    assert {r.ord for r in run("leak_safe_train_all_names") if r.reason == "eval_overlap"} == held
-    assert {(r.source_dataset, r.reason): r.n for r in run("rejection_counts_all_names")}["plantdoc", "eval_overlap"] == len(held)
+    assert {r.ord for r in run("eval_pool")} == held
+    assert {r.ord for r in run("leak_safe_train") if r.reason == "eval_overlap"} == held
+    assert {(r.source_dataset, r.reason): r.n for r in run("rejection_counts")}["plantdoc", "eval_overlap"] == len(held)
 
 
 def test_reports_count_every_row(spark, tmp_path):
@@ -86,7 +87,7 @@ def test_reports_count_every_row(spark, tmp_path):
     spark.createDataFrame([("agbase", "{}"), ("Agrillava", "{}"), ("agrillava", "{")], "source_dataset string, payload string").write.parquet(f"{tmp_path}/raw_records.parquet")
     registry = [(n, "sft", True) for n in ("mirage", "ip102", "agbase", "agrillava", "plantdoc")]
     spark.createDataFrame(registry, "source_dataset string, task_family string, include_in_eval boolean").write.parquet(f"{tmp_path}/dataset_registry.parquet")
-    got = {r.source_dataset: (r.normalized_rows, r.status) for r in core.QUERIES["dataset_report_all_rows"](spark, str(tmp_path)).collect()}
+    got = {r.source_dataset: (r.normalized_rows, r.status) for r in core.QUERIES["dataset_report"](spark, str(tmp_path)).collect()}
     assert got == {"mirage": (2, "normalized"), "ip102": (1, "normalized"), "agbase": (0, "manual_required"), "agrillava": (0, "downloaded_only"), "plantdoc": (0, "missing")}
-    row = core.QUERIES["readiness_status_all_rows"](spark, str(tmp_path)).first()
+    row = core.QUERIES["readiness_status"](spark, str(tmp_path)).first()
     assert (row.readiness_status, row.missing, row.missing_paths) == ("missing_data", 3, "agbase<br>agrillava<br>plantdoc")

@@ -199,15 +199,61 @@ def test_staged_sources(spark):
         {"faq-id": 3, "images": ["a", "gone"], "finetuning qa": {"species": {"a": " fig "}, "management instructions": {"a": "prune"}}},
         {"images": ["gone"]},
     ])
-    kept, skipped = N.agmmu_records(source, spark.createDataFrame([("a",)], "path string"))
+    kept, skipped = N.question_answer_records(source, spark.createDataFrame([("a",)], "path string"), "agbase")
     record = json.loads(kept.first().payload)
     assert (record["id"], record["diagnosis"], record["answer_text"], record["management_steps"], record["images"]) == ("agbase-3", "fig", "Species: fig\nManagement: prune", ["prune"], ["a"])
     assert skipped.first().skipped == 1
     talk = raw(spark, [{"image": "x/y.jpg", "conversations": [{"value": " q "}, {"value": "a"}]}])
-    record = json.loads(N.conversation_records(talk).first().payload)
+    record = json.loads(N.conversation_records(talk, "agrillava", "Img/").first().payload)
     assert (record["id"], record["image"], record["question"], record["diagnosis"]) == ("agrillava-000000", "Img/y.jpg", "q", "a")
     with pytest.raises(Exception, match="missing question"):
-        N.conversation_records(raw(spark, [{"image": "x", "conversations": [{"value": "q"}]}])).collect()
+        N.conversation_records(raw(spark, [{"image": "x", "conversations": [{"value": "q"}]}]), "d").collect()
+
+
+def test_indices_do_not_depend_on_partitions(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "sha(cast(id as string)) AS h")
+    got = [[(r["id"], r["index"]) for r in files.with_index(rows.repartition(n).orderBy("h")).orderBy("index").collect()] for n in (1, 8)]
+    assert got[0] == got[1] and [i for _, i in got[0]] == list(range(1000))
+    path = tmp_path / "r.jsonl"
+    path.write_text("".join(f'{{"a": {i}}}\n' + "\n" * (i % 3) for i in range(3000)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("4096b", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.read_payloads(spark, str(path))
+            assert sorted((r["index"], json.loads(r.payload)["a"]) for r in rows.collect()) == [(i, i) for i in range(3000)]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_readers_do_not_shuffle_lines(spark, tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_text('{"a": 1}\n' * 10)
+    plan = files.read_jsonl(spark, str(path), "a int")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_missing_pictures_fail(spark, tmp_path):
+    (tmp_path / "there.jpg").write_bytes(b"\xff\xd8\xff")
+    (tmp_path / "folder").mkdir()
+    rows = spark.createDataFrame([("a", ["there.jpg", "gone.jpg"]), ("b", [str(tmp_path / "there.jpg"), "folder"]), ("c", None)], "sample_id string, images array<string>")
+    assert {tuple(r) for r in files.missing_images(rows, str(tmp_path)).collect()} == {("gone.jpg", "a"), ("folder", "b")}
+    with pytest.raises(FileNotFoundError, match="folder, gone.jpg"):
+        files.require_images(rows, str(tmp_path))
+    files.require_images(rows.where("sample_id = 'c'"), str(tmp_path))
+
+
+def test_batches_and_streams_of_rows(tmp_path):
+    import pandas as pd
+
+    parts = [pd.DataFrame({"a": range(n)}) for n in (3, 0, 8, 1)]
+    got = list(files.in_batches(iter(parts), 5))
+    assert [len(x) for x in got] == [5, 5, 2] and [v for x in got for v in x["a"]] == [v for x in parts for v in x["a"]] and list(files.in_batches(iter([]), 5)) == []
+    endless = iter(lambda: {"b": "é"}, None)
+    assert files.first_of_stream(endless, 3, str(tmp_path / "x" / "a.jsonl")) == 3 and (tmp_path / "x" / "a.jsonl").read_text(encoding="utf-8") == '{"b": "é"}\n' * 3
+    assert paths.prefix_limit(5, "partial", 0.1) == 1 and paths.prefix_limit(None, "partial", 0.1) is None and paths.prefix_limit(5, "full", 0.1) is None
+    settings = paths.runtime_settings({"sample_fraction": 0.25}, "/r", None, 0.0, root="/d")
+    assert settings == {"download_mode": "partial", "sample_fraction": 0.25, "subset_tag": "partial_25pct", "data_root": "/d"}
 
 
 def test_streams(spark, tmp_path):
