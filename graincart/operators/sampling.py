@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graincart.functions.hashing import is_holdout, stable_hex
 from graincart.operators.selection import hex_bucket, position_bucket, prefix
-from graincart.session import hinted
+from graincart.session import cut_lineage, hinted
 
 
 def prefix_quota(rows: DataFrame, group: str, fraction: float, order: str = "ord") -> DataFrame:
@@ -62,14 +62,18 @@ def stratified_sample(rows: DataFrame, target: int, fields: list[str], floor: in
     Floors go to the larger strata first (ties: the stratum seen first). The leftover goes to the largest remainder,
     then the most spare rows, then the largest key. Within a stratum rows come by their salted hash. All rows come
     back where `target` is not positive or not below their number. Column `rank` is the place in the salted order of the result.
-    The strata table has one row for each combination of fields; its windows run in one task, and it is broadcast if it is small.
+    The place, stratum and hash of each row are written out once, and all that follows reads them. The strata table has one row for each
+    combination of fields; its windows run in one task, and it is broadcast if it is small.
     """
-    total = rows.count()
     order = stable_hex(F.col(key), salt)
+    keys = [f"_f{i}" for i in range(len(fields))]
+    named = [F.coalesce(F.col(f).cast("string"), F.lit("None")).alias(k) for k, f in zip(keys, fields)]
+    slim = rows.select("ord", F.col(key).alias("_id"), *named).withColumn("_stratum", _python_repr(keys))
+    slim = cut_lineage(slim.withColumn("_inner", stable_hex(F.col("_id"), F.concat(F.lit(f"{salt}::"), F.col("_stratum")))).drop("_id"))
+    total = slim.count()
     if target <= 0 or total <= target:
         return rows.withColumn("order_key", order)
-    named = [F.coalesce(F.col(f).cast("string"), F.lit("None")).alias(f"_f{i}") for i, f in enumerate(fields)]
-    strata = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("seen"))
+    strata = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("seen"))
     ahead = Window.orderBy(F.desc("n"), "seen").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     share = F.least(F.lit(floor), F.col("n"))
@@ -80,12 +84,11 @@ def stratified_sample(rows: DataFrame, target: int, fields: list[str], floor: in
     names = [F.desc(f"_f{i}") for i in range(len(fields))]
     place = F.row_number().over(Window.orderBy(F.desc(F.col("spare") > 0), F.desc(F.col("raw") - F.col("t2")), F.desc("spare"), *names))
     strata = strata.withColumn("alloc", F.col("t1") + F.col("t2") + F.when((F.col("spare") > 0) & (place <= F.col("left")), 1).otherwise(0))
-    keys = [f"_f{i}" for i in range(len(fields))]
-    marked = rows.withColumns({k: F.coalesce(F.col(f).cast("string"), F.lit("None")) for k, f in zip(keys, fields)})
-    marked = marked.join(hinted(strata.select(*keys, "alloc")), keys).withColumn("_stratum", _python_repr(keys))
-    inner = stable_hex(F.col(key), F.concat(F.lit(f"{salt}::"), F.col("_stratum")))
-    kept = prefix(marked, "_stratum", "alloc", inner, "ord", hex_bucket(F.col("_order")))
-    return kept.drop("alloc", "_stratum", *keys).withColumn("order_key", order)
+    strata = cut_lineage(strata.select(*keys, "alloc"))
+    groups = strata.count()
+    marked = slim.join(hinted(strata, known=groups), keys)
+    kept = prefix(marked, "_stratum", "alloc", F.col("_inner"), "ord", hex_bucket(F.col("_order")), groups).select(F.col("ord").alias("_kept"))
+    return rows.join(hinted(kept, known=target), F.col("ord") == F.col("_kept"), "left_semi").withColumn("order_key", order)
 
 
 def mode_first_seen(rows: DataFrame, group: list[str], value: str, order: str) -> DataFrame:

@@ -92,7 +92,12 @@ def release(*tables: DataFrame) -> None:
 SMALL = 100_000
 
 
-def hinted(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """`df` written out, with a broadcast hint if it has at most `most` rows; beyond, Spark joins it as it likes."""
+def hinted(df: DataFrame, most: int = SMALL, known: int | None = None) -> DataFrame:
+    """`df` written out, with a broadcast hint if it has at most `most` rows; beyond, Spark joins it as it likes.
+
+    Where its rows are `known` to be that few at most, it needs neither be written nor counted.
+    """
+    if known is not None and known <= most:
+        return F.broadcast(df)
     written = cut_lineage(df)
     return F.broadcast(written) if written.limit(most + 1).count() <= most else written
