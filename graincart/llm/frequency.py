@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graincart.functions.text import normalize_label
+from graincart.session import cut_lineage
 
 RARE_BELOW = 3
 COMMON_SHARE = 20
@@ -31,9 +32,12 @@ def term_frequencies(records: DataFrame, values: dict[str, Column], terms: dict[
     def whole(name: str, label: Column) -> Column:
         return F.array(F.struct(F.lit(name).alias("field_name"), label.alias("value"), F.lit(1).alias("n")))
 
+    # a term without a field stands for each record, so that one pass counts these too
+    everyone = F.array(F.struct(F.lit("").alias("field_name"), F.lit("").alias("value"), F.lit(0).alias("n")))
     parts = [whole(n, normalize_label(c)) for n, c in values.items()] + [words(n, normalize_label(c)) for n, c in terms.items()]
-    rows = records.select(F.explode(F.concat(*parts)).alias("t")).select("t.*").where("value <> ''")
-    counts = rows.groupBy("field_name", "value").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
-    total = records.count()
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") * common_share > F.lit(total), "common")
-    return counts.withColumn("mark", mark)
+    rows = records.select(F.explode(F.concat(everyone, *parts)).alias("t")).select("t.*").where("value <> '' OR field_name = ''")
+    counts = cut_lineage(rows.groupBy("field_name", "value").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records")))
+    row = counts.where("field_name = ''").first()
+    total = row.records if row else 0
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") * common_share > total, "common")
+    return counts.where("field_name <> ''").withColumn("mark", mark)
