@@ -59,11 +59,13 @@ def budgets(records: DataFrame, targets: DataFrame, registry: DataFrame, total:
     if total is None:
         total = sizes.agg(F.sum("size")).first()[0] or 0
     whole: dict[str, int] = {}
+    languages: dict[str, int] = {}
     for r in rows:
         whole[r.source_dataset] = whole.get(r.source_dataset, 0) + (r.size or 0)
+        languages[r.source_dataset] = languages.get(r.source_dataset, 0) + 1
     leaves = []
     for r in rows:
-        part = Fraction(r.size or 0, whole[r.source_dataset]) if whole[r.source_dataset] else Fraction(1, sum(x.source_dataset == r.source_dataset for x in rows))
+        part = Fraction(r.size or 0, whole[r.source_dataset]) if whole[r.source_dataset] else Fraction(1, languages[r.source_dataset])
         leaves.append(Leaf((r.task_family or "", r.language or "", r.source_dataset), r.target_permille * part, (r.size or 0) * r.max_repeats))
     allocate(leaves, total, 1000)
     data = [(r.source_dataset, r.task_family, r.language or "", r.target_permille, r.records or 0, r.size or 0, x.capacity, x.demand, x.given, x.lacks > 0) for r, x in zip(rows, leaves)]
