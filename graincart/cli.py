@@ -6,6 +6,7 @@ import argparse
 import datetime
 import json
 import os
+import shutil
 import socket
 import sys
 from typing import Any
@@ -58,8 +59,18 @@ def run_normalize(spark: SparkSession, a: argparse.Namespace) -> tuple[dict[str,
         else:
             out[name] = {"status": "missing_raw", "reason": raw}
             continue
-        files.require_images(rows, os.getcwd())
-        out[name] = {"status": "normalized", "rows": _write(rows, target), "path": target}
+        # written once beside its place, and moved there if its pictures are all there
+        made = f"{target}.new"
+        files.write_manifest(rows, made)
+        written = spark.read.schema("sample_id string, images array<string>").json(made)
+        try:
+            files.require_images(written, os.getcwd())
+            n = written.count()
+            shutil.rmtree(target, ignore_errors=True)
+            os.rename(made, target)
+        finally:
+            shutil.rmtree(made, ignore_errors=True)
+        out[name] = {"status": "normalized", "rows": n, "path": target}
     return {"subset_tag": tag, "download_mode": a.mode, "sample_fraction": a.fraction, "summary": out}, 0
 
 

@@ -5,6 +5,7 @@ The SQL states on the tables what must come back.
 
 from __future__ import annotations
 
+import argparse
 import atexit
 import json
 import os
@@ -17,6 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graincart import cli
 from graincart.functions import rewards as R
 from graincart.operators import manifests as M
 from graincart.operators import sampling as S
@@ -24,7 +26,7 @@ from graincart.operators.schema import FIELDS, SPLITS, TASK_TYPES, with_violatio
 from graincart.plans import normalize as N
 from graincart.plans import runs, stage
 from graincart.queries import _RULES, _SCORED, _in, _nl, _raw, _scored, _vqa_sql, query, read
-from graincart.session import ensure_checkpoint_dir
+from graincart.session import ensure_checkpoint_dir, ship_package
 from graincart.sources import files, paths
 from graincart.streaming import metrics_log
 
@@ -437,6 +439,7 @@ def model_batches(spark: SparkSession, folder: str) -> DataFrame:
         for batch in files.in_batches(parts, 64):
             yield batch.iloc[:1][["doc_id"]].assign(rows=len(batch))
 
+    ship_package(spark)
     made = read(spark, folder, "documents").select("doc_id").coalesce(1).mapInPandas(size, "doc_id bigint, rows bigint")
     return made.groupBy("rows").agg(F.count(F.lit(1)).alias("batches"))
 
@@ -496,6 +499,28 @@ def staged_and_skipped(spark: SparkSession, folder: str) -> DataFrame:
     return skipped.withColumn("kept", F.lit(kept.count()))
 
 
+@query("SELECT 'talks-' || lpad(n_nationkey::VARCHAR, 6, '0') AS id, 'Img/' || n_name || '.jpg' AS image, n_name AS question, 'region ' || n_regionkey AS diagnosis, 'train' AS split FROM nation")
+def staged_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first two turns of talks as question and answer."""
+    turns = F.array(F.struct(F.concat(F.lit(" "), "n_name").alias("value")), F.struct(F.concat(F.lit("region "), "n_regionkey", F.lit("\n")).alias("value")), F.struct(F.lit("more").alias("value")))
+    rows = read(spark, folder, "nation").select(F.col("n_nationkey").alias("index"), F.to_json(F.struct(F.concat(F.lit("a/b/"), "n_name", F.lit(".jpg")).alias("image"), turns.alias("conversations"))).alias("payload"))
+    made = F.from_json("payload", "id string, image string, question string, diagnosis string, split string")
+    return N.conversation_records(rows, "talks", "Img/").select(made.alias("r")).select("r.*")
+
+
+@query("SELECT source_dataset, CASE WHEN normalizer = 'consultation_records' THEN 1 ELSE 2 END::BIGINT AS rows, true AS validated FROM dataset_registry")
+def smoke_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Made-up records for every data set of the registry, normalised by the commands, their pictures looked for, and their manifests read with checks."""
+    at, registry = scratch(spark, "smoke"), _rows(read(spark, folder, "dataset_registry"))
+    config = os.path.join(at, "registry.yaml")
+    files.write_yaml(config, {"datasets": [{"name": r["source_dataset"], "normalizer": r["normalizer"], "default_task_type": r["default_task_type"]} for r in registry]})
+    given = argparse.Namespace(config=config, mode=None, fraction=None, data_root=os.path.join(at, "data"), with_smoke_data=True, datasets=None)
+    cli.run_prepare_slots(spark, given)
+    made = cli.run_normalize(spark, given)[0]["summary"]
+    out = [(name, m["rows"], files.read_manifest(spark, m["path"]).count() == m["rows"]) for name, m in made.items()]
+    return _table(spark, out, "source_dataset string, rows bigint, validated boolean")
+
+
 @query(
     "SELECT n_nationkey AS ord, 'z/' || lower(n_name) || '.jpg' AS member FROM nation"
 )

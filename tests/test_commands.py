@@ -164,3 +164,39 @@ def test_decode_mode_needs_a_library(spark, tmp_path):
     assert files.check_images(spark, str(tmp_path)).first().error is None
     with pytest.raises(ValueError):
         files.check_images(spark, str(tmp_path), "other")
+
+
+def test_materialisers_write_and_unpack(spark, tmp_path):
+    import tarfile
+    import zipfile
+
+    nested = stage.single_label_records(raw(spark, [{"label": [0, [1, "x"], 9]}]), "train", ["a", "b"])
+    assert json.loads(payloads(nested)[0]["label"]) == ["a", '["b","x"]', None]
+    rows = raw(spark, [{"question": "q", "answer": "a"}])
+    assert stage.materialize("questions", [(rows, {"split": "train"}), (rows, {"split": "val"})], str(tmp_path / "q")) == {"saved_rows": 2, "parts": 2}
+    assert files.find_records_file(str(tmp_path / "q")).endswith("records.jsonl") and files.read_payloads(spark, str(tmp_path / "q" / "records.jsonl")).count() == 2
+    with pytest.raises(KeyError):
+        stage.materialize("unknown", [(rows, {})], str(tmp_path))
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("x/A.JPG", b"1")
+    table = spark.createDataFrame([(i, "", "d/a.jpg", "", "q", "a", None) for i in range(3)], "ord bigint, split string, image_path string, image_id string, question string, answer string, question_type string")
+    records = stage.archive_records(table, spark.createDataFrame([("x/A.JPG",)], "member string"), "full", 1.0, dataset="d")
+    assert stage.extract_pictures(str(tmp_path / "p.zip"), records, str(tmp_path)) == 1 and (tmp_path / "images" / "train" / "a.jpg").read_bytes() == b"1"
+    assert payloads(records)[2]["id"] == "d-000002"
+    assert {(r.split, r.n) for r in stage.split_sizes(spark.createDataFrame([("Val",), ("valid",), (None,), ("",)], "split string")).collect()} == {("validation", 2), ("train", 2)}
+    (tmp_path / "in.txt").write_bytes(bytes(range(256)) * 100)
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        t.add(tmp_path / "in.txt", "in.txt")
+    content = (tmp_path / "a.tar").read_bytes()
+    parts = []
+    for i in range(0, len(content), 7000):
+        parts.append(tmp_path / f"a.tar.{i:06}")
+        parts[-1].write_bytes(content[i : i + 7000])
+    assert stage.extract_parts_once([str(p) for p in reversed(parts)], str(tmp_path / "out"), ".done") and not stage.extract_parts_once([], str(tmp_path / "out"), ".done")
+    assert (tmp_path / "out" / "in.txt").read_bytes() == (tmp_path / "in.txt").read_bytes()
+
+
+def test_rar_needs_a_program(tmp_path, monkeypatch):
+    monkeypatch.setattr(stage.shutil, "which", lambda name: None)
+    with pytest.raises(RuntimeError, match="unpacks"):
+        stage.extract_rar_once("a.rar", str(tmp_path), ".done")

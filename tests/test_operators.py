@@ -263,3 +263,41 @@ def test_results_do_not_depend_on_partitions(spark):
         assert want in (None, got)
         want = got
     assert len(want[1]) == 10
+
+
+def test_prefixes_by_sizes_equal_brute_force(spark):
+    import hashlib
+    import random
+
+    from graincart.functions.hashing import stable_hex
+    from graincart.operators.selection import hex_bucket, mark_prefix
+
+    rng = random.Random(3)
+    quotas = {"a": 0, "b": 50, "c": 7, "d": 10**6, "e": None, "f": 1}
+    rows = [(f"{g}{i}", g, rng.choice([0, 1, 3, 9, None, -2]), q) for g, q in quotas.items() for i in range(rng.randrange(1, 60))]
+    df = spark.createDataFrame(rows, "id string, g string, size int, q int").repartition(3)
+    for sized in (True, False):
+        marked = mark_prefix(df, "g", "q", stable_hex(F.col("id"), "s"), "id", hex_bucket(F.col("_order")), "taken", F.col("size") if sized else None)
+        got = {r.id for r in marked.collect() if r.taken}
+        want = set()
+        for g, q in quotas.items():
+            total = 0
+            for key, size in sorted(((x[0], x[2]) for x in rows if x[1] == g), key=lambda x: hashlib.sha256(f"s::{x[0]}".encode()).hexdigest()):
+                total += max(size or 0, 0) if sized else 1
+                if q and q >= 1 and total <= q:
+                    want.add(key)
+                elif q is None or total > q:
+                    break
+        assert got == want and marked.columns == [*df.columns, "taken"]
+
+
+def test_released_tables_leave_nothing(spark):
+    import os
+
+    from graincart.session import cut_lineage, release
+
+    written = cut_lineage(spark.range(10))
+    path = written._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(path)
+    release(written, spark.range(3))
+    assert not os.path.exists(path)
